@@ -25,6 +25,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in RUNTIME_CONF.items():
         builder = builder.config(name, value)
