@@ -61,6 +61,17 @@ VIEWS = {
           o_orderdate as uploaded_at,
           cast(cast(floor(o_totalprice) as bigint) % 101 as int) as overall_score
         from {orders}""",
+    "v_profiles": """
+        select l_orderkey as resume_id, string_agg(replace(p_name, ' ', ','), ',') as skills_text,
+          case when count(*) > 1 then cast(count(*) as int) end as years_experience,
+          case max(l_linenumber) when 1 then null when 2 then ' ' when 3 then 'bachelors'
+            when 4 then 'MASTERS' else 'PHD' end as education_level
+        from {lineitem} join {part} on p_partkey = l_partkey group by l_orderkey""",
+    "v_requirements": """
+        select p_partkey as job_id, concat(upper(p_name), ' ', p_name) as required_text,
+          case when p_size % 3 = 0 then null when p_size % 7 = 0 then ' , '
+            else concat(' Gear ,bolt, ', p_type) end as preferred_text
+        from {part} where p_type <> 'PROMO'""",
     "v_users": """
         select c_custkey as user_id, concat('user', cast(c_custkey as varchar(20)), '@example.com') as email,
           c_name as display_name,
