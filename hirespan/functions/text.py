@@ -36,6 +36,11 @@ COMMON_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;
 WORD = "[0-9A-Za-z_]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_spaces(text: Column) -> Column:
     """Every run of white space becomes one blank; none is left at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -160,8 +165,8 @@ def skill_columns(
     required_cues: list[str] | None = None,
     preferred_cues: list[str] | None = None,
     sensible_edges: bool = False,
-) -> tuple[Column, Column]:
-    """``(required, preferred)`` sorted skill arrays of a posting.
+) -> Column:
+    """A struct of the ``required`` and ``preferred`` skills of a posting, as sorted arrays.
 
     Each line counts for one side: required if it has a required cue or no cue at all, else
     preferred. Lines of a side are put together again, so each keyword is tested twice per
@@ -170,16 +175,30 @@ def skill_columns(
     keywords = SKILL_KEYWORDS if keywords is None else keywords
     required_cues = REQUIRED_CUES if required_cues is None else required_cues
     preferred_cues = PREFERRED_CUES if preferred_cues is None else preferred_cues
-    lines = F.split(F.lower(description), "\n")
 
     def is_preferred(line: Column) -> Column:
         return ~contains_any(line, required_cues) & contains_any(line, preferred_cues)
 
-    preferred_text = F.array_join(F.filter(lines, is_preferred), "\n")
-    required_text = F.array_join(F.filter(lines, lambda line: ~is_preferred(line)), "\n")
-    required = keywords_in(required_text, keywords, sensible_edges)
-    preferred = keywords_in(preferred_text, keywords, sensible_edges)
-    return required, F.array_except(preferred, required)
+    def two_sides(lines: Column) -> Column:
+        return F.struct(
+            F.array_join(F.filter(lines, lambda line: ~is_preferred(line)), "\n").alias("required"),
+            F.array_join(F.filter(lines, is_preferred), "\n").alias("preferred"),
+        )
+
+    def found(sides: Column) -> Column:
+        return F.struct(
+            keywords_in(sides["required"], keywords, sensible_edges).alias("required"),
+            keywords_in(sides["preferred"], keywords, sensible_edges).alias("preferred"),
+        )
+
+    def without_required(both: Column) -> Column:
+        return F.struct(
+            both["required"].alias("required"),
+            F.array_except(both["preferred"], both["required"]).alias("preferred"),
+        )
+
+    both = let(let(F.split(F.lower(description), "\n"), two_sides), found)
+    return let(both, without_required)
 
 
 def strip_fence(text: Column) -> Column:
@@ -213,8 +232,11 @@ def normal_skills(skills: Column) -> Column:
 
 def keyword_match(skills: Column, text: Column) -> Column:
     """Percentage of (normalised) skills found in the text as substrings; an empty side gives 0."""
-    lowered = F.lower(text)
-    found = F.size(F.filter(skills, lambda skill: F.contains(lowered, skill)))
-    share = F.floor(found / F.size(skills) * 100.0 + 0.5).cast("int")
-    empty = skills.isNull() | (F.size(skills) == 0) | text.isNull() | (_trim_control(text) == "")
-    return F.when(empty, F.lit(0)).otherwise(share)
+    def share(inputs: Column) -> Column:
+        wanted, lowered = inputs["skills"], inputs["text"]
+        found = F.size(F.filter(wanted, lambda skill: F.contains(lowered, skill)))
+        percentage = F.floor(found / F.greatest(F.size(wanted), F.lit(1)) * 100.0 + 0.5).cast("int")
+        empty = wanted.isNull() | (F.size(wanted) == 0) | lowered.isNull() | lowered.rlike(r"\A[\x00-\x20]*\z")
+        return F.when(empty, F.lit(0)).otherwise(percentage)
+
+    return let(F.struct(skills.alias("skills"), F.lower(text).alias("text")), share)

@@ -75,10 +75,20 @@ def feed_page(
 ) -> DataFrame:
     """A page of the filtered feed; with a one-row ``profile`` also its match percentage."""
     rows = page_of(feed_order(filter_feed(jobs, **filters)), page, size)
-    if profile is None:
-        return rows
-    skills = profile.select(normal_skills(F.col("skills"))).scalar()
-    return rows.withColumn("match_percentage", keyword_match(skills, F.col("description_text")))
+    return rows if profile is None else with_match(rows, profile)
+
+
+def with_match(jobs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Jobs with the match percentage of one profile (a single row with ``skills``)."""
+    # The skills come in as one text: a subquery may not stand inside an array function.
+    mark = "\u001f"
+    skills = profile.select(F.array_join(normal_skills(F.col("skills")), mark)).scalar()
+    wanted = F.split(F.nullif(F.col("_skills"), F.lit("")), mark)
+    return (
+        jobs.withColumn("_skills", skills)
+        .withColumn("match_percentage", keyword_match(wanted, F.col("description_text")))
+        .drop("_skills")
+    )
 
 
 def feed_summary(jobs: DataFrame, **filters) -> DataFrame:

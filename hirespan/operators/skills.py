@@ -31,11 +31,11 @@ CATEGORY_ORDER = ["Languages", "Frameworks", "Infrastructure", "Databases", "Con
 
 def requirement_profiles(jobs: DataFrame, **options) -> DataFrame:
     """``job_id, required_skills, preferred_skills, extraction_method`` from ``description_text``."""
-    required, preferred = skill_columns(F.col("description_text"), **options)
-    return jobs.select(
+    found = skill_columns(F.col("description_text"), **options)
+    return jobs.select("job_id", found.alias("_skills")).select(
         "job_id",
-        required.alias("required_skills"),
-        preferred.alias("preferred_skills"),
+        F.col("_skills.required").alias("required_skills"),
+        F.col("_skills.preferred").alias("preferred_skills"),
         F.lit("KEYWORD").alias("extraction_method"),
     )
 

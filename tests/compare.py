@@ -40,12 +40,17 @@ def sorted_rows(names, rows):
     return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
+oracle_time: list[float] = []
+
+
 def differences(frame, connection, sql: str) -> list[str]:
     """Empty when the frame and the SQL agree in names, types and rows."""
+    started = time.time()
     cursor = connection.execute(sql)
     names = [column[0] for column in cursor.description]
     types = {c[0]: TYPES.get(str(c[1]), str(c[1])) for c in cursor.description}
     expected = sorted_rows(names, cursor.fetchall())
+    oracle_time.append(time.time() - started)
     found = []
     spark_types = {n: t.replace("timestamp_ntz", "timestamp") for n, t in frame.dtypes}
     if spark_types != types:
@@ -74,6 +79,7 @@ def main(names: list[str], sf_dir: str = "/root/testdata/sf0.01") -> int:
         if names and not any(part in name for part in names):
             continue
         started = time.time()
+        oracle_time.clear()
         try:
             if name in catalog.ORACLES:
                 found = differences(run(spark, sf_dir), connection, catalog.ORACLES[name])
@@ -82,7 +88,7 @@ def main(names: list[str], sf_dir: str = "/root/testdata/sf0.01") -> int:
         except Exception as error:  # report and go on with the next query
             found = [f"{type(error).__name__}: {str(error)[:1200]}"]
         bad += bool(found)
-        print(f"{'BAD ' if found else 'ok  '} {name} {time.time() - started:.1f}s", *found, sep="\n     ", flush=True)
+        print(f"{'BAD ' if found else 'ok  '} {name} {time.time() - started:.1f}s, of it SQL {sum(oracle_time):.1f}s", *found, sep="\n     ", flush=True)
     print("bad:", bad)
     return bad
 
