@@ -80,13 +80,14 @@ def snapshot_percentile(
 
 
 def arrival_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int = SPLIT_FLOOR
+    scores: DataFrame, parts: int | None = None, floor: int = SPLIT_FLOOR, keep_counts: bool = False
 ) -> DataFrame:
     """What each applicant was told on arrival.
 
     ``applicant_count`` counts the applicant and all earlier ones; the percentile compares with
     earlier ones only and is null for the first four. Heavy jobs are cut into time slices; the
-    counts of earlier slices come from a table of at most 101 rows per slice.
+    counts of earlier slices come from a table of at most 101 rows per slice. ``keep_counts``
+    gives the bare counts ``_n`` (earlier rows) and ``_le`` (those with a score up to one's own).
     """
     order = ["scored_at", "application_id"]
     rows = (
@@ -117,9 +118,14 @@ def arrival_percentile(
         (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
         (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),
     )
+    return full if keep_counts else with_arrival_state(full, scores.columns)
+
+
+def with_arrival_state(counted: DataFrame, columns: list[str]) -> DataFrame:
+    """Applicant number, state and percentile from the earlier rows ``_n`` and those up to the score ``_le``."""
     ready = F.col("_n") + 1 >= FIRST_RANKED_APPLICANT
-    return full.select(
-        *scores.columns,
+    return counted.select(
+        *columns,
         (F.col("_n") + 1).alias("applicant_count"),
         F.when(ready, F.lit("PERCENTILE_READY")).otherwise("EARLY_APPLICANT").alias("benchmark_state"),
         F.when(ready, percent_half_up(F.col("_le"), F.col("_n"))).alias("percentile"),

@@ -10,17 +10,29 @@ from hirespan.plans.registry import query
 NOW = f"timestamp '{AS_OF}'"
 URL = "concat('https://jobs.example.com/', cast({k} as varchar(20)))"
 
-# Postings seen per line item: the same part is seen many times, by several suppliers.
-BATCH = f"""
-  select l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey as arrival, {URL.format(k='l_partkey')} as source_url,
-    case when l_suppkey % 2 = 0 then 'greenhouse' else 'lever' end as source,
-    concat('k', cast(l_partkey % 500 as varchar(20)), l_returnflag) as source_job_id,
+# Postings seen per line item: the same part is seen many times, under clashing source keys.
+# Equal arrivals are equal rows.
+SEEN_ITEMS = f"""
+  select concat_ws('-', cast(l_orderkey as varchar(20)), cast(l_linenumber as varchar(20)), cast(l_suppkey as varchar(20)),
+      cast(cast(l_quantity as bigint) as varchar(20)), cast(cast(round(l_extendedprice * 100) as bigint) as varchar(20)),
+      cast(cast(round(l_discount * 100) as bigint) as varchar(20)), l_returnflag, l_linestatus) as arrival,
+    {URL.format(k='l_partkey')} as source_url, case when l_suppkey % 2 = 0 then 'greenhouse' else 'lever' end as source,
+    case when l_quantity < 5 then '' else concat('k', cast(l_partkey % 500 as varchar(20)), l_returnflag) end as source_job_id,
     concat('Role ', l_returnflag) as title, concat('Firm ', l_linestatus) as company, l_returnflag as location,
     'INTERNSHIP' as employment_type, concat('Text ', cast(l_quantity as varchar(20))) as description_text,
     cast(l_linenumber as int) as minimum_years_experience, cast(null as varchar(20)) as education_level,
     case when l_discount > 0.02 then l_shipdate end as posted_at, l_shipdate as scraped_at
-  from lineitem"""
-TARGET = f"""
+  from {{lineitem}}"""
+SEEN_ORDERS = f"""
+  select o_orderkey as arrival, {URL.format(k='o_orderkey % 5000')} as source_url, 'greenhouse' as source,
+    concat('k', cast(o_orderkey % 4000 as varchar(20))) as source_job_id,
+    concat('Role ', o_orderstatus) as title, concat('Firm ', o_orderpriority) as company, o_orderstatus as location,
+    'INTERNSHIP' as employment_type, concat('Text ', cast(o_orderkey as varchar(20))) as description_text,
+    cast(o_orderkey % 7 as int) as minimum_years_experience, cast(null as varchar(20)) as education_level,
+    case when o_orderstatus <> 'F' then o_orderdate end as posted_at, o_orderdate as scraped_at
+  from {{orders}}"""
+# The table before: the smaller parts.
+PRESENT = f"""
   select concat('j', cast(p_partkey as varchar(20))) as job_id, 'greenhouse' as source,
     concat('k', cast(p_partkey % 500 as varchar(20)), substr(p_type, 1, 1)) as source_job_id,
     {URL.format(k='p_partkey')} as source_url, p_name as title, p_brand as company, p_type as location,
@@ -29,102 +41,75 @@ TARGET = f"""
     cast('PHD' as varchar(20)) as education_level, case when p_size % 3 = 0 then timestamp '1990-01-01 00:00:00' end as posted_at,
     timestamp '1990-01-02 00:00:00' as scraped_at, timestamp '1990-01-03 00:00:00' as created_at,
     timestamp '1990-01-04 00:00:00' as updated_at
-  from part where p_size <= 25"""
+  from {{part}} where p_size <= 25"""
 
 
-def _times(frame, *names):
-    return frame.withColumns({name: F.col(name).cast("timestamp") for name in names})
-
-
-def _upsert_inputs(load):
-    spark = load("part").sparkSession
-    target = spark.sql(TARGET.replace("from part", "from {part}"), part=load("part"))
-    # Line items repeat keys, so equal arrivals are reduced to one first.
-    batch = spark.sql(BATCH.replace("from lineitem", "from {lineitem}"), lineitem=load("lineitem"))
-    batch = _times(batch, "posted_at", "scraped_at").withColumn(
-        "arrival", F.xxhash64("arrival", *[c for c in batch.columns if c != "arrival"])
-    )
-    return _times(target, "posted_at", "scraped_at", "created_at", "updated_at"), batch
-
-
-# The order of equal scrape dates is a hash on the Spark side, so this one has no SQL twin; the
-# unit tests compare it with a row-by-row replay. The next two cover the same code by SQL.
-@query("job_upsert_u5")
-def job_upsert(load):
-    target, batch = _upsert_inputs(load)
-    merged, _ = tables.upsert_jobs(target, batch, ages.moment(AS_OF))
-    return merged
-
-
-ORDERED = """
-  with seen as (
-    select {url} as source_url, 'greenhouse' as source, concat('k', cast(o_orderkey % 4000 as varchar(20))) as source_job_id,
-      concat('Role ', o_orderstatus) as title, concat('Firm ', o_orderpriority) as company, o_orderstatus as location,
-      'INTERNSHIP' as employment_type, concat('Text ', cast(o_orderkey as varchar(20))) as description_text,
-      cast(o_orderkey % 7 as int) as minimum_years_experience, cast(null as varchar(20)) as education_level,
-      case when o_orderstatus <> 'F' then o_orderdate end as posted_at, o_orderdate as scraped_at, o_orderkey as arrival
-    from {orders}),
-  present as ({target})
-"""
-
-
-@query(
-    "job_upsert_by_orders_u5_w6",
-    ORDERED.format(url=URL.format(k="o_orderkey % 5000"), orders="orders", target=TARGET)
-    + f""", folded as (
-        select source_url, min_by(source_job_id, (scraped_at, arrival)) as source_job_id,
+def _upsert_sql(seen: str, result: str) -> str:
+    names = {"part": "part", "orders": "orders", "lineitem": "lineitem"}
+    return f"""
+      with seen as ({seen.format(**names)}), present as ({PRESENT.format(**names)}),
+      folded as (
+        select source_url, min_by(source, (scraped_at, arrival)) as source,
+          nullif(min_by(source_job_id, (scraped_at, arrival)), '') as source_job_id,
           min_by(minimum_years_experience, (scraped_at, arrival)) as years, max_by(title, (scraped_at, arrival)) as title,
           max_by(company, (scraped_at, arrival)) as company, max_by(location, (scraped_at, arrival)) as location,
           max_by(description_text, (scraped_at, arrival)) as description_text,
           min_by(posted_at, (scraped_at, arrival)) filter (posted_at is not null) as posted_at,
           max(scraped_at) as scraped_at, min((scraped_at, arrival)) as first_seen
         from seen group by source_url),
-      fresh as (select * from folded where source_url not in (select source_url from present)),
-      ranked as (select *, row_number() over (partition by source_job_id order by first_seen, source_url) as n from fresh),
-      clash as (select source_url from ranked where n > 1 or source_job_id in (select source_job_id from present)),
+      fresh as (select * from folded where source_url not in (select source_url from present) and source_job_id is not null),
+      ranked as (select *, row_number() over (partition by source, source_job_id order by first_seen, source_url) as n from fresh),
+      clash as (select source_url, source, source_job_id from ranked
+        where n > 1 or (source, source_job_id) in (select (source, source_job_id) from present)),
       ok as (select * from folded where source_url not in (select source_url from clash))
-    select coalesce(p.job_id, sha256(o.source_url)) as job_id, coalesce(p.source, 'greenhouse') as source,
-      coalesce(p.source_job_id, o.source_job_id) as source_job_id, coalesce(p.source_url, o.source_url) as source_url,
-      coalesce(o.title, p.title) as title, coalesce(o.company, p.company) as company, coalesce(o.location, p.location) as location,
-      case when o.source_url is not null then 'INTERNSHIP' else p.employment_type end as employment_type,
-      coalesce(o.description_text, p.description_text) as description_text,
-      case when o.source_url is not null then sha256(o.description_text) else p.description_hash end as description_hash,
-      case when o.source_url is not null then 'ACTIVE' else p.status end as status,
-      coalesce(p.minimum_years_experience, o.years) as minimum_years_experience, p.education_level as education_level,
-      coalesce(p.posted_at, o.posted_at) as posted_at, coalesce(o.scraped_at, p.scraped_at) as scraped_at,
-      coalesce(p.created_at, {NOW}) as created_at, case when o.source_url is not null then {NOW} else p.updated_at end as updated_at
-    from present p full join ok o on o.source_url = p.source_url""",
-)
-def job_upsert_by_orders(load):
-    target, batch = _ordered(load)
-    return tables.upsert_jobs(target, batch, ages.moment(AS_OF))[0]
+      {result}"""
 
 
-def _ordered(load):
-    spark = load("orders").sparkSession
-    text = ORDERED.format(url=URL.format(k="o_orderkey % 5000"), orders="{orders}", target=TARGET.replace("from part", "from {part}"))
-    batch = spark.sql(text + " select * from seen", orders=load("orders"), part=load("part"))
-    target = spark.sql(text + " select * from present", orders=load("orders"), part=load("part"))
-    return (
+REJECTS = "select source_url, source, source_job_id, 'source key belongs to another url' as reason from clash"
+MERGED = f"""
+  select coalesce(p.job_id, sha256(o.source_url)) as job_id, coalesce(p.source, o.source) as source,
+    case when p.source_url is not null then p.source_job_id else o.source_job_id end as source_job_id,
+    coalesce(p.source_url, o.source_url) as source_url,
+    coalesce(o.title, p.title) as title, coalesce(o.company, p.company) as company, coalesce(o.location, p.location) as location,
+    case when o.source_url is not null then 'INTERNSHIP' else p.employment_type end as employment_type,
+    coalesce(o.description_text, p.description_text) as description_text,
+    case when o.source_url is not null then sha256(o.description_text) else p.description_hash end as description_hash,
+    case when o.source_url is not null then 'ACTIVE' else p.status end as status,
+    coalesce(p.minimum_years_experience, o.years) as minimum_years_experience, p.education_level as education_level,
+    coalesce(p.posted_at, o.posted_at) as posted_at, coalesce(o.scraped_at, p.scraped_at) as scraped_at,
+    coalesce(p.created_at, {NOW}) as created_at, case when o.source_url is not null then {NOW} else p.updated_at end as updated_at
+  from present p full join ok o on o.source_url = p.source_url"""
+
+
+def _times(frame, *names):
+    return frame.withColumns({name: F.col(name).cast("timestamp") for name in names})
+
+
+def _upsert(load, seen: str):
+    part = load("part")
+    target = part.sparkSession.sql(PRESENT, part=part)
+    source = "lineitem" if "{lineitem}" in seen else "orders"
+    batch = part.sparkSession.sql(seen, **{source: load(source)})
+    return tables.upsert_jobs(
         _times(target, "posted_at", "scraped_at", "created_at", "updated_at"),
         _times(batch, "posted_at", "scraped_at"),
+        ages.moment(AS_OF),
     )
 
 
-@query(
-    "job_upsert_rejects_u5",
-    ORDERED.format(url=URL.format(k="o_orderkey % 5000"), orders="orders", target=TARGET)
-    + """, folded as (
-        select source_url, min_by(source_job_id, (scraped_at, arrival)) as source_job_id, min((scraped_at, arrival)) as first_seen
-        from seen group by source_url),
-      fresh as (select * from folded where source_url not in (select source_url from present)),
-      ranked as (select *, row_number() over (partition by source_job_id order by first_seen, source_url) as n from fresh)
-    select source_url, 'greenhouse' as source, source_job_id, 'source key belongs to another url' as reason from ranked
-    where n > 1 or source_job_id in (select source_job_id from present)""",
-)
+@query("job_upsert_u5_w6", _upsert_sql(SEEN_ITEMS, MERGED))
+def job_upsert(load):
+    return _upsert(load, SEEN_ITEMS)[0]
+
+
+@query("job_upsert_rejects_u5", _upsert_sql(SEEN_ITEMS, REJECTS))
 def job_upsert_rejects(load):
-    target, batch = _ordered(load)
-    return tables.upsert_jobs(target, batch, ages.moment(AS_OF))[1]
+    return _upsert(load, SEEN_ITEMS)[1]
+
+
+@query("job_upsert_by_orders_u5_w6", _upsert_sql(SEEN_ORDERS, MERGED))
+def job_upsert_by_orders(load):
+    return _upsert(load, SEEN_ORDERS)[0]
 
 
 @query(
