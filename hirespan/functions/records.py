@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions.scoring import rank_tier
-from hirespan.functions.text import strip_fence, strip_fence_marks
+from hirespan.functions.text import let, strip_fence, strip_fence_marks
+from hirespan.operators.skew import spread, with_value
 
 # Defaults for missing fields.
 DEFAULT_SCORE = 50
@@ -20,7 +21,7 @@ DEFAULT_ROAST = "Failed to generate roast. Your resume broke the AI. That's... a
 
 def to_variant(text: Column) -> Column:
     """The parsed text; blank counts as an empty object and broken text gives null."""
-    return F.try_parse_json(F.when(text.rlike(r"\A\s*\z"), F.lit("{}")).otherwise(text))
+    return let(text, lambda t: F.try_parse_json(F.when(F.trim(t) == "", F.lit("{}")).otherwise(t)))
 
 
 def read_number(node: Column, path: str) -> Column:
@@ -44,9 +45,13 @@ def read_text(node: Column, path: str, default: str) -> Column:
 
 def element_text(node: Column) -> Column:
     """Text of a list element: nested values give '' and null gives ``null``."""
-    return F.when(is_container(node), F.lit("")).otherwise(
-        F.coalesce(F.try_variant_get(node, "$", "string"), F.lit("null"))
-    )
+
+    def shown(text: Column) -> Column:
+        # Looking at the kind is costly, so only texts which look nested are looked at.
+        nested = text.rlike(r"\A[\[{]") & is_container(node)
+        return F.when(text.isNull(), "null").when(nested, "").otherwise(text)
+
+    return let(F.try_variant_get(node, "$", "string"), shown)
 
 
 def read_list(node: Column, path: str) -> Column:
@@ -69,7 +74,7 @@ def read_objects(node: Column, path: str, build, schema: str) -> Column:
 
 
 def _split(responses: DataFrame, cleaned: Column) -> tuple[DataFrame, DataFrame]:
-    parsed = responses.withColumn("_node", to_variant(cleaned))
+    parsed = with_value(spread(responses), "_node", to_variant(cleaned))
     good = parsed.where(F.col("_node").isNotNull())
     bad = parsed.where(F.col("_node").isNull()).drop("_node").withColumn("reason", F.lit("unreadable response"))
     return good, bad
@@ -138,7 +143,7 @@ def parse_fits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_profiles(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resume profiles. An unreadable response still gives an (empty) profile, and a reject row."""
-    parsed = responses.withColumn("_node", to_variant(strip_fence_marks(F.col("response"))))
+    parsed = with_value(spread(responses), "_node", to_variant(strip_fence_marks(F.col("response"))))
     node = F.col("_node")
     number = read_number(node, "$.yearsExperience")
     given = F.try_variant_get(node, "$.yearsExperience", "string").isNotNull()

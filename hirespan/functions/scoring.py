@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hirespan.functions.text import _trim_control, let, normal_skills
+from hirespan.functions.text import _trim_control, normal_skills
 
 # Weights of the match score, in the order they are added.
 REQUIRED_WEIGHT, PREFERRED_WEIGHT, EXPERIENCE_WEIGHT, EDUCATION_WEIGHT = 60.0, 15.0, 15.0, 10.0
@@ -51,18 +51,18 @@ def ladder(value: Column, steps: list[tuple[int, str]]) -> Column:
     return F.when(value.isNotNull(), chosen.otherwise(steps[-1][1]))
 
 
-def coverage(candidate: Column, wanted: Column) -> Column:
-    """Share of the wanted skills the candidate has; nothing wanted gives 1.
+def wanted_skills(wanted: Column) -> Column:
+    """Normal form of a list of wanted skills; null if nothing is wanted."""
+    return F.when(F.size(wanted) > 0, normal_skills(wanted))
+
+
+def coverage(have: Column, need: Column) -> Column:
+    """Share of the needed skills at hand, from normal forms; nothing wanted gives 1.
 
     A list of blanks only has no share: the result is NaN, and the score below becomes 0.
     """
-    def share(sides: Column) -> Column:
-        need, have = sides["need"], sides["have"]
-        matched = F.size(F.array_intersect(need, have))
-        return F.when(F.size(need) == 0, F.lit(float("nan"))).otherwise(matched / F.greatest(F.size(need), F.lit(1)))
-
-    both = F.struct(normal_skills(wanted).alias("need"), normal_skills(candidate).alias("have"))
-    return F.when(wanted.isNull() | (F.size(wanted) == 0), F.lit(1.0)).otherwise(let(both, share))
+    share = F.size(F.array_intersect(need, have)) / F.greatest(F.size(need), F.lit(1))
+    return F.when(need.isNull(), F.lit(1.0)).when(F.size(need) == 0, F.lit(float("nan"))).otherwise(share)
 
 
 def experience_alignment(have: Column, need: Column) -> Column:

@@ -34,6 +34,8 @@ AGGREGATOR_LINKS = ["simplify.jobs/p/", "simplify.jobs/c/"]
 COMMON_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&nbsp;": "\u00a0"}
 
 WORD = "[0-9A-Za-z_]"
+# Everything up to the blank counts as white space when skills and texts are trimmed.
+CONTROL = "".join(chr(code) for code in range(0x21))
 
 
 def let(value: Column, use) -> Column:
@@ -203,22 +205,27 @@ def skill_columns(
 
 def strip_fence(text: Column) -> Column:
     """Remove a code fence: all of its first line and the closing marks. Null gives ``{}``."""
-    trimmed = _trim_control(text)
-    opened = F.regexp_replace(trimmed, r"\A[^\n]*\n", "")
-    closed = F.when(opened.endswith("```"), F.substring(opened, F.lit(1), F.length(opened) - 3)).otherwise(opened)
-    return F.coalesce(_trim_control(F.when(trimmed.startswith("```"), closed).otherwise(trimmed)), F.lit("{}"))
+
+    def bare(trimmed: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(trimmed, r"\A[^\n]*\n", ""), r"```\z", "")
+        return F.when(trimmed.startswith("```"), _trim_control(body)).otherwise(trimmed)
+
+    return F.coalesce(let(_trim_control(text), bare), F.lit("{}"))
 
 
 def strip_fence_marks(text: Column) -> Column:
     """As ``strip_fence`` but only the marks and a language name are removed."""
-    trimmed = _trim_control(text)
-    bare = F.regexp_replace(F.regexp_replace(trimmed, r"\A```[a-zA-Z]*\n?", ""), r"```\z", "")
-    return F.coalesce(F.when(trimmed.startswith("```"), _trim_control(bare)).otherwise(trimmed), F.lit("{}"))
+
+    def bare(trimmed: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(trimmed, r"\A```[a-zA-Z]*\n?", ""), r"```\z", "")
+        return F.when(trimmed.startswith("```"), _trim_control(body)).otherwise(trimmed)
+
+    return F.coalesce(let(_trim_control(text), bare), F.lit("{}"))
 
 
 def _trim_control(text: Column) -> Column:
     """Trim everything up to the blank (U+0020) from both ends."""
-    return F.regexp_replace(text, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(text, F.lit(CONTROL))
 
 
 def normal_skills(skills: Column) -> Column:
@@ -236,7 +243,7 @@ def keyword_match(skills: Column, text: Column) -> Column:
         wanted, lowered = inputs["skills"], inputs["text"]
         found = F.size(F.filter(wanted, lambda skill: F.contains(lowered, skill)))
         percentage = F.floor(found / F.greatest(F.size(wanted), F.lit(1)) * 100.0 + 0.5).cast("int")
-        empty = wanted.isNull() | (F.size(wanted) == 0) | lowered.isNull() | lowered.rlike(r"\A[\x00-\x20]*\z")
+        empty = wanted.isNull() | (F.size(wanted) == 0) | lowered.isNull() | (_trim_control(lowered) == "")
         return F.when(empty, F.lit(0)).otherwise(percentage)
 
     return let(F.struct(skills.alias("skills"), F.lower(text).alias("text")), share)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions import scoring
-from hirespan.operators.skew import SPLIT_FLOOR, salted_join
+from hirespan.functions.text import normal_skills
+from hirespan.operators.skew import salted_join
 
 # Allowed statuses of an application.
 APPLICATION_STATUSES = [
@@ -27,7 +28,7 @@ def application_list(
     resumes: DataFrame,
     scores: DataFrame,
     parts: int | None = None,
-    floor: int = SPLIT_FLOOR,
+    floor: int | None = None,
 ) -> DataFrame:
     """Applications with job, resume and, if there is one, score columns."""
     with_job = salted_join(
@@ -158,16 +159,30 @@ def score_applications(
     requirements: DataFrame,
     jobs: DataFrame,
     parts: int | None = None,
-    floor: int = SPLIT_FLOOR,
+    floor: int | None = None,
 ) -> DataFrame:
-    """Match score and its four parts; null where a profile or requirement list is missing."""
+    """Match score and its four parts; null where a profile or requirement list is missing.
+
+    Skill lists are brought to normal form once per resume and job, before the joins.
+    """
     wanted = jobs.select(
         "job_id", "minimum_years_experience", F.col("education_level").alias("wanted_education")
     ).join(
-        requirements.select("job_id", "required_skills", "preferred_skills", F.lit(True).alias("_wanted")), "job_id", "left"
+        requirements.select(
+            "job_id",
+            scoring.wanted_skills(F.col("required_skills")).alias("_required"),
+            scoring.wanted_skills(F.col("preferred_skills")).alias("_preferred"),
+            F.lit(True).alias("_wanted"),
+        ),
+        "job_id",
+        "left",
     )
     candidate = profiles.select(
-        "resume_id", "skills", "years_experience", "education_level", F.lit(True).alias("_known")
+        "resume_id",
+        normal_skills(F.col("skills")).alias("_skills"),
+        "years_experience",
+        "education_level",
+        F.lit(True).alias("_known"),
     )
     joined = salted_join(
         applications.join(candidate, "resume_id", "left"),
@@ -181,8 +196,8 @@ def score_applications(
     scored = F.col("_known").isNotNull() & F.col("_wanted").isNotNull()
     parts_of_score = joined.withColumn("is_scored", scored).withColumns(
         {
-            "required_coverage": F.when(scored, scoring.coverage(F.col("skills"), F.col("required_skills"))),
-            "preferred_coverage": F.when(scored, scoring.coverage(F.col("skills"), F.col("preferred_skills"))),
+            "required_coverage": F.when(scored, scoring.coverage(F.col("_skills"), F.col("_required"))),
+            "preferred_coverage": F.when(scored, scoring.coverage(F.col("_skills"), F.col("_preferred"))),
             "experience_alignment": F.when(
                 scored, scoring.experience_alignment(F.col("years_experience"), F.col("minimum_years_experience"))
             ),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions.text import keyword_match, normal_skills
+from hirespan.operators.skew import spread
 
 # Page size if the asked one is out of range, and that range.
 DEFAULT_SIZE, LARGEST_SIZE = 20, 100
@@ -75,11 +76,16 @@ def feed_page(
 ) -> DataFrame:
     """A page of the filtered feed; with a one-row ``profile`` also its match percentage."""
     rows = page_of(feed_order(filter_feed(jobs, **filters)), page, size)
-    return rows if profile is None else with_match(rows, profile)
+    # The page is small and in order, so it is not dealt out.
+    return rows if profile is None else _match(rows, profile)
 
 
 def with_match(jobs: DataFrame, profile: DataFrame) -> DataFrame:
     """Jobs with the match percentage of one profile (a single row with ``skills``)."""
+    return _match(spread(jobs), profile)
+
+
+def _match(jobs: DataFrame, profile: DataFrame) -> DataFrame:
     # The skills come in as one text: a subquery may not stand inside an array function.
     mark = "\u001f"
     skills = profile.select(F.array_join(normal_skills(F.col("skills")), mark)).scalar()

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirespan.operators.skew import SPLIT_FLOOR, salted_join, with_order_slices
+from hirespan.operators.skew import salted_join, with_order_slices, worth_splitting
 
 # Applicants needed before a percentile is shown; percentile of an empty pool.
 FIRST_RANKED_APPLICANT = 5
@@ -64,7 +64,7 @@ def _cumulative(scores: DataFrame) -> DataFrame:
 
 
 def snapshot_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int = SPLIT_FLOOR
+    scores: DataFrame, parts: int | None = None, floor: int | None = None
 ) -> DataFrame:
     """Share of the job's finished pool with a score up to one's own, own row included."""
     return salted_join(
@@ -80,7 +80,7 @@ def snapshot_percentile(
 
 
 def arrival_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int = SPLIT_FLOOR, keep_counts: bool = False
+    scores: DataFrame, parts: int | None = None, floor: int | None = None, keep_counts: bool = False
 ) -> DataFrame:
     """What each applicant was told on arrival.
 
@@ -90,16 +90,18 @@ def arrival_percentile(
     gives the bare counts ``_n`` (earlier rows) and ``_le`` (those with a score up to one's own).
     """
     order = ["scored_at", "application_id"]
+    sliced = worth_splitting(scores, floor)
     rows = (
-        with_order_slices(scores, "job_id", order, parts, floor)
+        (with_order_slices(scores, "job_id", order, parts, floor) if sliced else scores.withColumn("slice", F.lit(0)))
         .withColumn("_high", F.floor(F.col("match_score") / BASE).cast("int"))
         .withColumn("_low", F.pmod("match_score", F.lit(BASE)))
     )
+    group = ["job_id", "slice"] if sliced else ["job_id"]
     earlier = (
-        Window.partitionBy("job_id", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     earlier_same_high = (
-        Window.partitionBy("job_id", "slice", "_high")
+        Window.partitionBy(*group, "_high")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -111,13 +113,18 @@ def arrival_percentile(
         F.count(F.lit(1)).over(earlier).alias("_n_in_slice"),
         (F.get(highs, F.col("_high")) + F.get(lows, F.col("_low"))).alias("_le_in_slice"),
     )
-    before = _before_slice(rows)
-    zero = F.lit(0).cast("long")
-    full = counted.join(F.broadcast(before), ["job_id", "slice", "match_score"], "left").select(
-        *scores.columns,
-        (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
-        (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),
-    )
+    if sliced:
+        zero = F.lit(0).cast("long")
+        before = F.broadcast(_before_slice(rows))
+        full = counted.join(before, ["job_id", "slice", "match_score"], "left").select(
+            *scores.columns,
+            (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
+            (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),
+        )
+    else:
+        full = counted.select(
+            *scores.columns, F.col("_n_in_slice").alias("_n"), F.col("_le_in_slice").alias("_le")
+        )
     return full if keep_counts else with_arrival_state(full, scores.columns)
 
 
@@ -168,7 +175,7 @@ def _before_slice(rows: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(scores: DataFrame, parts: int | None = None, floor: int = SPLIT_FLOOR) -> DataFrame:
+def leaderboard(scores: DataFrame, parts: int | None = None, floor: int | None = None) -> DataFrame:
     """Rank within the job by score, best first; equal scores share a rank.
 
     The rank is one plus the rows with a higher score, so it comes from the score counts and
