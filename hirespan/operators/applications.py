@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from hirespan.functions import scoring
 from hirespan.functions.text import normal_skills
 from hirespan.operators.skew import salted_join
+from hirespan.schemas import ALLOWED
 
-# Allowed statuses of an application.
-APPLICATION_STATUSES = [
-    "APPLIED", "SCORED", "INTERVIEWING", "OFFER", "REJECTED", "WITHDRAWN", "RUNNING", "ORPHANED", "KILLED", "FAILED",
-]
+APPLICATION_STATUSES = ALLOWED["applications", "status"]
+# What an application list can be sorted by.
 SORT_KEYS = ["company", "job_title", "status", "match_score", "applied_at", "deadline"]
 
 
+def _with_job(rows: DataFrame, job_columns: DataFrame, spread_by: str) -> DataFrame:
+    """Rows with the columns of their job, if any; a job may hold any share of the rows."""
+    return salted_join(rows, job_columns, ["job_id"], [spread_by], "left")
+
+
 def resume_name() -> Column:
     label = F.col("label")
     unnamed = label.isNull() | (F.trim(label) == "") | (label == "default")
@@ -61,7 +65,7 @@ def application_list(
 
 def saved_list(saved: DataFrame, jobs: DataFrame) -> DataFrame:
     columns = ["job_id", "title", "company", "location", "employment_type", "posted_at", "source_url"]
-    return saved.join(jobs.select(*columns), "job_id").select("user_id", *columns, "saved_at")
+    return salted_join(saved, jobs.select(*columns), ["job_id"], ["user_id"]).select("user_id", *columns, "saved_at")
 
 
 def roast_list(roasts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -74,7 +78,7 @@ def roast_list(roasts: DataFrame, jobs: DataFrame) -> DataFrame:
     names = jobs.select("job_id", F.col("title").alias("job_title"), "company")
     general = [F.coalesce("job_title", F.lit("General Roast")).alias("job_title"),
                F.coalesce("company", F.lit("—")).alias("company")]
-    with_job = tiered.where("job_id is not null").join(names, "job_id", "left")
+    with_job = _with_job(tiered.where("job_id is not null"), names, "roast_id")
     without = tiered.where("job_id is null").withColumns(
         {"job_title": F.lit(None).cast("string"), "company": F.lit(None).cast("string")}
     )
@@ -129,7 +133,7 @@ def accept_applications(
     checked = (
         batch.select(*keys, "_first.applied_at", "_first.resume_id", "_copies")
         .join(existing.select(*keys, F.lit(True).alias("_exists")), keys, "left")
-        .join(jobs.select("job_id", F.col("status").alias("_job_status")), "job_id", "left")
+        .transform(_with_job, jobs.select("job_id", F.col("status").alias("_job_status")), "user_id")
         .join(resumes.select("resume_id", F.col("user_id").alias("_owner")), "resume_id", "left")
         .withColumn(
             "reason",

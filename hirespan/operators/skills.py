@@ -102,7 +102,8 @@ def pair_match(
     (job, skill) is looked for once in the job's text however many users share it, and only
     the hits travel back to the pairs.
     """
-    wanted = pairs.join(profiles.select("user_id", normal_skills(F.col("skills")).alias("_skills")), "user_id", "left")
+    normal = profiles.select("user_id", normal_skills(F.col("skills")).alias("_skills"))
+    wanted = salted_join(pairs, normal, ["user_id"], ["job_id"], "left", parts=parts, floor=floor)
     exploded = wanted.select("user_id", "job_id", F.explode_outer("_skills").alias("skill"))
     lookups = exploded.where("skill is not null").select("job_id", "skill").distinct()
     texts = jobs.select("job_id", F.lower("description_text").alias("_text"))

@@ -50,7 +50,7 @@ def periodic_ingest(load):
     _land(load, f"{folder}/landing")
     landing = load.spark.readStream.schema(ingest.LANDING_SCHEMA).option("maxFilesPerTrigger", 200).parquet(f"{folder}/landing")
     runs.drain_batches(landing, f"{folder}/state", ingest.ingest_batch(f"{folder}/tables", ages.moment(AS_OF)))
-    return read_version(load.spark, f"{folder}/tables/jobs").select(
+    return ingest.present_jobs(load.spark, f"{folder}/tables").select(
         "source", "source_job_id", "source_url", "title", "company", "location", "description_hash", "status", "posted_at"
     )
 
@@ -83,7 +83,7 @@ def parse_on_upload(load):
         F.col("o_custkey").alias("resume_id"), response.alias("response"), F.struct("o_orderdate", "o_orderkey").alias("received_at")
     )
     runs.drain_batches(rows, f"{folder}/state", ingest.profile_batch(f"{folder}/out"))
-    return read_version(load.spark, f"{folder}/out").select("resume_id", F.array_join("skills", "|").alias("skills"), "status")
+    return ingest.present_profiles(load.spark, f"{folder}/out").select("resume_id", F.array_join("skills", "|").alias("skills"), "status")
 
 
 LIMIT_SQL = """select user_id, date_trunc('day', ts) as window_start, count(*) as attempts, count(*) - 5 as refused

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirespan.functions.records import parse_profiles
 from hirespan.operators.skills import requirement_profiles
-from hirespan.operators.tables import JOB_COLUMNS, upsert_jobs, upsert_latest
+from hirespan.operators.tables import JOB_COLUMNS, upsert_jobs
+from hirespan.schemas import schema_of
 from hirespan.sources import boards
 from hirespan.sources.listings import parse_listings
-from hirespan.sources.store import read_version, write_version
+from hirespan.sources.store import newest_rows, read_log, write_changes, write_version
 
 # Landed rows: kind of source, company, token, time of the fetch, and the whole response.
 LANDING_SCHEMA = "kind string, company string, token string, fetched_at timestamp, body string"
 
-EMPTY_JOBS = (
-    "job_id string, source string, source_job_id string, source_url string, title string, company string, location string, "
-    "employment_type string, description_text string, description_hash string, status string, "
-    "minimum_years_experience int, education_level string, posted_at timestamp, scraped_at timestamp, "
-    "created_at timestamp, updated_at timestamp"
-)
-EMPTY_REQUIREMENTS = "job_id string, required_skills array<string>, preferred_skills array<string>, extraction_method string"
+PROFILE_COLUMNS = ["resume_id", "skills", "years_experience", "education_level", "status"]
 
 
 def postings_of(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,18 +31,14 @@ def postings_of(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_batch(path: str, as_of: Column):
-    """A batch handler: parse, upsert the jobs table, extract skills, upsert requirements, keep rejects.
+    """A batch handler: parse, upsert the jobs, extract skills, keep rejects.
 
-    Tables live in versions under ``path``; batch ``number`` reads the version before it and
-    writes its own, so a repeated batch gives the same tables.
+    ``path/jobs`` and ``path/requirements`` are change logs: a batch reads the present rows of
+    its own URLs and source keys only, and writes only the rows it touched.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jobs_path, needs_path = f"{path}/jobs", f"{path}/requirements"
-        jobs = read_version(spark, jobs_path, before=number)
-        if jobs is None:
-            jobs = spark.createDataFrame([], EMPTY_JOBS)
         postings, rejects = postings_of(batch)
         arrived = postings.withColumns(
             {
@@ -57,19 +48,14 @@ def ingest_batch(path: str, as_of: Column):
                 "education_level": F.lit(None).cast("string"),
             }
         )
-        # Parsed once and written, then used three times.
+        # Parsed once and written, then used several times.
         write_version(arrived, f"{path}/arrived", number)
         arrived = spark.read.parquet(f"{path}/arrived/v={number:012d}")
-        merged, clashes = upsert_jobs(jobs, arrived, as_of)
-        write_version(merged.select(*JOB_COLUMNS), jobs_path, number)
-        # Only postings touched by this batch need their skills read again.
-        written = read_version(spark, jobs_path, before=number + 1)
-        touched = written.join(arrived.select("source_url").distinct(), "source_url", "left_semi")
-        needs = read_version(spark, needs_path, before=number)
-        if needs is None:
-            needs = spark.createDataFrame([], EMPTY_REQUIREMENTS)
-        found = requirement_profiles(touched)
-        write_version(upsert_latest(needs, found, ["job_id"], ["job_id"]), needs_path, number)
+        merged, clashes = upsert_jobs(_present(spark, f"{path}/jobs", arrived, number), arrived, as_of)
+        touched = merged.join(arrived.select("source_url").distinct(), "source_url", "left_semi")
+        write_changes(touched.select(*JOB_COLUMNS), f"{path}/jobs", number)
+        written = spark.read.parquet(f"{path}/jobs/changes/v={number:012d}")
+        write_changes(requirement_profiles(written), f"{path}/requirements", number)
         refused = rejects.select("company", "body", "reason").unionByName(
             clashes.select("source_url", "reason"), allowMissingColumns=True
         )
@@ -78,17 +64,40 @@ def ingest_batch(path: str, as_of: Column):
     return handle
 
 
+def _present(spark: SparkSession, path: str, arrived: DataFrame, number: int) -> DataFrame:
+    """Present jobs which share a URL or a source key with the arrived postings."""
+    log = read_log(spark, path, before=number)
+    if log is None:
+        return spark.createDataFrame([], schema_of("jobs")).select(*JOB_COLUMNS)
+    same_url = log.join(arrived.select("source_url").distinct(), "source_url", "left_semi")
+    keys = ["source", "source_job_id"]
+    same_key = log.join(arrived.select(*keys).distinct(), keys, "left_semi")
+    return newest_rows(same_url.unionByName(same_key), ["source_url"]).select(*JOB_COLUMNS)
+
+
+def present_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """All jobs an ingest keeps under ``path``."""
+    return newest_rows(read_log(spark, f"{path}/jobs"), ["source_url"]).select(*JOB_COLUMNS)
+
+
+def present_requirements(spark: SparkSession, path: str) -> DataFrame:
+    return newest_rows(read_log(spark, f"{path}/requirements"), ["job_id"])
+
+
 def profile_batch(path: str):
     """A batch handler for stored resume responses ``resume_id, response, received_at``.
 
-    Keeps a table of profiles (the last response of a resume counts) with their status.
+    ``path`` is a change log of profiles; the last response of a resume in a batch counts.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         read, _ = parse_profiles(batch)
-        before = read_version(batch.sparkSession, path, before=number)
-        columns = ["resume_id", "skills", "years_experience", "education_level", "status"]
-        target = read.select(*columns).limit(0) if before is None else before
-        write_version(upsert_latest(target, read, ["resume_id"], ["received_at"]), path, number)
+        last = F.max_by(F.struct(*PROFILE_COLUMNS[1:]), "received_at")
+        rows = read.groupBy("resume_id").agg(last.alias("_p")).select("resume_id", "_p.*")
+        write_changes(rows, path, number)
 
     return handle
+
+
+def present_profiles(spark: SparkSession, path: str) -> DataFrame:
+    return newest_rows(read_log(spark, path), ["resume_id"]).select(*PROFILE_COLUMNS)

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from hirespan.operators.applications import score_applications
 from hirespan.operators.percentile import arrival_percentile, with_arrival_state
-from hirespan.sources.store import read_version, write_version
+from hirespan.sources.store import read_log, write_changes, write_version
 
 
 def score_batch(path: str, profiles: DataFrame, requirements: DataFrame, jobs: DataFrame):
     """A batch handler: score new applications and rank them among those scored before.
 
-    Earlier arrivals of a job are kept as counts per (job, score), at most 101 rows per job, so
-    a batch never reads the applications before it. What a batch told its applicants stays;
-    a recompute over the whole table by ``arrival_percentile`` replaces it.
+    Earlier arrivals are kept as counts per (job, score), at most 101 rows per job and batch, so
+    a batch never reads the applications before it and writes only its own rows. What a batch
+    told its applicants stays; a recompute by ``arrival_percentile`` replaces it.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -24,13 +24,17 @@ def score_batch(path: str, profiles: DataFrame, requirements: DataFrame, jobs: D
         fresh = scored.select("application_id", "user_id", "job_id", "match_score", F.col("applied_at").alias("scored_at"))
         write_version(fresh, f"{path}/fresh", number)
         fresh = spark.read.parquet(f"{path}/fresh/v={number:012d}")
-        counts = read_version(spark, f"{path}/counts", before=number)
-        if counts is None:
-            counts = spark.createDataFrame([], fresh.select("job_id", "match_score").schema.add("n", "long"))
+        log = read_log(spark, f"{path}/counts", before=number)
+        if log is None:
+            log = spark.createDataFrame([], fresh.select("job_id", "match_score").schema.add("n", "long"))
+        counts = (
+            log.join(fresh.select("job_id").distinct(), "job_id", "left_semi")
+            .groupBy("job_id", "match_score")
+            .agg(F.sum("n").alias("n"))
+        )
         write_version(rank_among(fresh, counts), f"{path}/ranked", number)
         added = fresh.groupBy("job_id", "match_score").agg(F.count(F.lit(1)).alias("n"))
-        total = counts.unionByName(added).groupBy("job_id", "match_score").agg(F.sum("n").alias("n"))
-        write_version(total, f"{path}/counts", number)
+        write_changes(added, f"{path}/counts", number)
 
     return handle
 
