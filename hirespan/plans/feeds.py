@@ -7,6 +7,8 @@ from hirespan.functions.text import is_internship, is_internship_posting
 from hirespan.operators import feed
 from hirespan.plans.bindings import AS_OF, EVENTS_AS_OF
 from hirespan.plans.registry import query
+from hirespan.schemas import violations
+from hirespan.sources import catalogue
 
 SUMMARY = "job_id, title, company, location, employment_type, posted_at, scraped_at, status, source_url"
 NOW = f"timestamp '{AS_OF}'"
@@ -209,3 +211,33 @@ def deadline_flags(load):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         ages.deadline_urgent(due, now).alias("is_urgent"), ages.deadline_past(due, now).alias("is_past"),
     )
+
+
+@query(
+    "hardest_first_o4",
+    "select p_name as title, p_brand as company, p_size as difficulty_level from part",
+)
+def hardest_first(load):
+    named = load("part").select(
+        F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.col("p_size").alias("difficulty_level")
+    )
+    return catalogue.hardest_first(named)
+
+
+@query(
+    "table_rules_f15",
+    """select user_id, email, concat_ws(',', case when length(display_name) > 120 then 'display_name is too long' end,
+         case when visibility not in ('PRIVATE', 'PUBLIC') then 'profile_visibility is not allowed' end) as reasons
+       from (select c_custkey as user_id, concat('user', c_custkey) as email,
+           case when c_acctbal < 0 then repeat(c_name, 7) else c_name end as display_name, c_mktsegment as visibility from customer)
+       where length(display_name) > 120 or visibility not in ('PRIVATE', 'PUBLIC')""",
+)
+def table_rules(load):
+    """No market segment is an allowed visibility, and the long names break a second rule."""
+    users = load("customer").select(
+        F.col("c_custkey").alias("user_id"),
+        F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("email"),
+        F.when(F.col("c_acctbal") < 0, F.repeat("c_name", F.lit(7))).otherwise(F.col("c_name")).alias("display_name"),
+        F.col("c_mktsegment").alias("profile_visibility"),
+    )
+    return violations(users, "users").select("user_id", "email", F.concat_ws(",", "reasons").alias("reasons"))
