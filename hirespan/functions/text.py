@@ -153,7 +153,10 @@ def whole_word(keyword: str, sensible_edges: bool = False) -> str:
 
 
 def keywords_in(text: Column, keywords: list[str], sensible_edges: bool = False) -> Column:
-    """Sorted array of the keywords found in a lower-case text as whole words."""
+    """Sorted array of the keywords found in a lower-case text as whole words.
+
+    A plain search comes first, so the pattern is tried only where the keyword occurs at all.
+    """
     tests = [
         F.when(text.contains(word) & text.rlike(whole_word(word, sensible_edges)), F.lit(word))
         for word in sorted(set(keywords))
@@ -181,12 +184,24 @@ def skill_columns(
     def is_preferred(line: Column) -> Column:
         return ~contains_any(line, required_cues) & contains_any(line, preferred_cues)
 
-    def two_sides(lines: Column) -> Column:
-        return F.struct(
-            F.array_join(F.filter(lines, lambda line: ~is_preferred(line)), "\n").alias("required"),
-            F.array_join(F.filter(lines, is_preferred), "\n").alias("preferred"),
+    def by_line(text: Column) -> Column:
+        lines = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), is_preferred(line).alias("soft")))
+        return let(
+            lines,
+            lambda all_lines: F.struct(
+                join_lines(F.filter(all_lines, lambda item: ~item["soft"])).alias("required"),
+                join_lines(F.filter(all_lines, lambda item: item["soft"])).alias("preferred"),
+            ),
         )
 
+    def join_lines(items: Column) -> Column:
+        return F.array_join(F.transform(items, lambda item: item["line"]), "\n")
+
+    def two_sides(text: Column) -> Column:
+        # Without a preferred cue anywhere all lines are of the required side.
+        whole = F.struct(text.alias("required"), F.lit("").alias("preferred"))
+        return F.when(contains_any(text, preferred_cues), by_line(text)).otherwise(whole)
+
     def found(sides: Column) -> Column:
         return F.struct(
             keywords_in(sides["required"], keywords, sensible_edges).alias("required"),
@@ -199,7 +214,7 @@ def skill_columns(
             F.array_except(both["preferred"], both["required"]).alias("preferred"),
         )
 
-    both = let(let(F.split(F.lower(description), "\n"), two_sides), found)
+    both = let(let(F.lower(description), two_sides), found)
     return let(both, without_required)
 
 

@@ -63,13 +63,25 @@ def _cumulative(scores: DataFrame) -> DataFrame:
     )
 
 
+def _with_pool(scores: DataFrame, parts: int | None, floor: int | None) -> DataFrame:
+    """Scores with ``n_up_to`` and ``n_job``.
+
+    A large input is joined to its score counts, heavy (job, score) pairs spread over several
+    tasks. A small one is counted in place, by one shuffle on the job.
+    """
+    if worth_splitting(scores, floor):
+        keys = ["job_id", "match_score"]
+        return salted_join(scores, _cumulative(scores), keys, ["application_id"], parts=parts, floor=floor)
+    by_job = Window.partitionBy("job_id")
+    up_to = by_job.orderBy("match_score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return scores.withColumns({"n_up_to": F.count(F.lit(1)).over(up_to), "n_job": F.count(F.lit(1)).over(by_job)})
+
+
 def snapshot_percentile(
     scores: DataFrame, parts: int | None = None, floor: int | None = None
 ) -> DataFrame:
     """Share of the job's finished pool with a score up to one's own, own row included."""
-    return salted_join(
-        scores, _cumulative(scores), ["job_id", "match_score"], ["application_id"], parts=parts, floor=floor
-    ).select(
+    return _with_pool(scores, parts, floor).select(
         "application_id",
         "job_id",
         "match_score",
@@ -178,12 +190,9 @@ def _before_slice(rows: DataFrame) -> DataFrame:
 def leaderboard(scores: DataFrame, parts: int | None = None, floor: int | None = None) -> DataFrame:
     """Rank within the job by score, best first; equal scores share a rank.
 
-    The rank is one plus the rows with a higher score, so it comes from the score counts and
-    needs no sort of a job's applicants.
+    The rank is one plus the rows with a higher score, so it comes from the score counts.
     """
-    return salted_join(
-        scores, _cumulative(scores), ["job_id", "match_score"], ["application_id"], parts=parts, floor=floor
-    ).select(
+    return _with_pool(scores, parts, floor).select(
         "job_id",
         "application_id",
         "match_score",

@@ -26,8 +26,13 @@ SPLIT_INPUT = 1 << 30
 SAMPLES_PER_SLICE = 16
 
 
+# Most parts a table is cut into, so that what is broadcast about the parts stays small.
+MOST_PARTS = 8192
+
+
 def default_parts(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """As many parts as shuffles have, so that a slice is about the size of a partition."""
+    return min(MOST_PARTS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
 def input_bytes(df: DataFrame) -> int:

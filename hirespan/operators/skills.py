@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions.scoring import round_half_up
-from hirespan.functions.text import normal_skills, skill_columns
+from hirespan.functions.text import let, normal_skills, skill_columns
 from hirespan.operators.skew import salted_join, spread
 
 # Category of each known skill, and the order categories are shown in.
@@ -61,24 +61,31 @@ def skill_tree(
         return F.transform(skills, lambda skill: F.lower(F.trim(skill)))
 
     wanted = F.array_union(simple("required_skills"), simple("preferred_skills"))
-    matched = F.array_intersect(F.col("_wanted"), simple("user_skills"))
-    total, hits = F.size("_wanted"), F.size("_matched")
-    prepared = rows.withColumn("_wanted", wanted).withColumn("_matched", matched)
-
-    def in_category(skills: str, category: str) -> Column:
-        return F.filter(skills, lambda skill: category_of(skill, categories) == category)
-
-    groups = F.array(
-        *[
-            F.struct(
-                F.lit(position).alias("category_position"),
-                F.lit(category).alias("category"),
-                F.size(in_category("_wanted", category)).alias("wanted"),
-                F.size(in_category("_matched", category)).alias("matched"),
-            )
-            for position, category in enumerate(CATEGORY_ORDER)
-        ]
-    )
+
+    def by_category(names: Column) -> Column:
+        return F.transform(names, lambda skill: category_of(skill, categories))
+
+    def both(sides: Column) -> Column:
+        matched = F.array_intersect(sides["wanted"], sides["user"])
+        return F.struct(by_category(sides["wanted"]).alias("wanted"), by_category(matched).alias("matched"))
+
+    # Per row: the category of each wanted and of each matched skill.
+    sides = let(F.struct(wanted.alias("wanted"), simple("user_skills").alias("user")), both)
+    prepared = rows.withColumn("_sides", sides)
+    total, hits = F.size("_sides.wanted"), F.size("_sides.matched")
+
+    def count_of(side: str, category: str) -> Column:
+        return F.size(f"_sides.{side}") - F.size(F.array_remove(f"_sides.{side}", category))
+
+    def group(position: int, category: str) -> Column:
+        return F.struct(
+            F.lit(position).alias("category_position"),
+            F.lit(category).alias("category"),
+            count_of("wanted", category).alias("wanted"),
+            count_of("matched", category).alias("matched"),
+        )
+
+    groups = F.array(*[group(position, category) for position, category in enumerate(CATEGORY_ORDER)])
     percentage = F.when(total > 0, round_half_up(hits / F.greatest(total, F.lit(1)) * 100.0)).otherwise(0)
     return (
         prepared.select(
