@@ -29,7 +29,8 @@ def _fold_batch(batch: DataFrame) -> DataFrame:
     last_names = [c for c in REFRESHED if c != "description_hash"]
     dated = F.when(F.col("posted_at").isNotNull(), order)
     return (
-        batch.groupBy("source_url")
+        batch.where("source_url is not null")
+        .groupBy("source_url")
         .agg(
             F.min(F.struct(order.alias("o"), F.struct(*first_names).alias("r"))).alias("_first"),
             F.max(F.struct(order.alias("o"), F.struct(*last_names).alias("r"))).alias("_last"),
@@ -55,12 +56,13 @@ def upsert_jobs(target: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Dat
     ``batch`` rows carry the posting's columns, ``scraped_at`` and a unique ``arrival``. A known
     URL gets the newest text, becomes active again, and keeps its identity and its first
     known posted date. A new URL is added, unless its (source, source key) belongs to another
-    URL, in the table or earlier in the batch: such rows are rejected.
+    URL, in the table or earlier in the batch: such rows are rejected, as are rows without a URL.
     """
     folded = _fold_batch(batch)
     fresh = folded.join(target.select("source_url"), "source_url", "left_anti")
     # Rows without a source key cannot clash; keeping them out also keeps nulls out of the joins.
-    keyed = fresh.where("source_job_id is not null")
+    # The filters are spelt out so that both uses of these rows share one shuffle.
+    keyed = fresh.where("source is not null and source_job_id is not null")
     keys = ["source", "source_job_id"]
     winners = keyed.groupBy(*keys).agg(F.min(F.struct("_order", "source_url")).alias("_w"))
     taken = target.where("source_job_id is not null").select(*keys, F.lit(True).alias("_taken"))
@@ -70,6 +72,7 @@ def upsert_jobs(target: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Dat
         .where((F.col("_w.source_url") != F.col("source_url")) | F.col("_taken").isNotNull())
         .select("source_url", *keys, F.lit("source key belongs to another url").alias("reason"))
     )
+    nameless = batch.where("source_url is null").select("source_url", *keys, F.lit("url is missing").alias("reason"))
     accepted = folded.join(clashes.select("source_url"), "source_url", "left_anti")
     old = target.select("source_url", F.struct(*[c for c in JOB_COLUMNS if c != "source_url"]).alias("_old"))
     new = accepted.select(
@@ -97,7 +100,7 @@ def upsert_jobs(target: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Dat
         if name not in values:
             values[name] = refreshed(name) if name in REFRESHED else kept(name)
     merged = old.join(new, "source_url", "full_outer").select(*[values[c].alias(c) for c in JOB_COLUMNS])
-    return merged, clashes
+    return merged, clashes.unionByName(nameless)
 
 
 def upsert_latest(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

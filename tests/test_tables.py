@@ -74,6 +74,13 @@ def test_source_key_of_another_url_is_rejected(spark):
     assert rows["none1"].source_job_id is None
 
 
+def test_row_without_url_is_rejected(spark):
+    frame = spark.createDataFrame([seen(1, None, "k"), seen(2, "u", "k")], BATCH)
+    merged, rejects = tables.upsert_jobs(spark.createDataFrame([], TARGET), frame, ages.moment(NOW))
+    assert [r.source_url for r in merged.collect()] == ["u"]
+    assert [(r.source_url, r.reason) for r in rejects.collect()] == [(None, "url is missing")]
+
+
 def replay(target, batch):
     """The table after one statement per row, in order of arrival."""
     table = {row[3]: dict(zip([c.split()[0] for c in TARGET.split(", ")], row)) for row in target}
