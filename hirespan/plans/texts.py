@@ -53,15 +53,16 @@ def skill_sets(load):
 
 MATCH_SQL = """
   with prof as (
-    select conv_id as user_id, list_distinct(list_filter(list_transform(string_split(text, ' '),
+    select conv_id, conv_id * 1000 + turn as user_id, list_distinct(list_filter(list_transform(string_split(text, ' '),
       lambda s: lower(regexp_replace(s, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'))), lambda s: s <> '')) as skills
-    from conversations where turn = 0)
+    from conversations)
 """
 
 
 def _profiles(load):
-    first = load("conversations").where("turn = 0")
-    return first.select(F.col("conv_id").alias("user_id"), F.split("text", " ").alias("skills"))
+    """Every turn of a conversation stands for a profile, its words for the skills."""
+    user = (F.col("conv_id") * 1000 + F.col("turn")).alias("user_id")
+    return load("conversations").select(user, F.split("text", " ").alias("skills"), "conv_id")
 
 
 @query(
@@ -70,12 +71,13 @@ def _profiles(load):
     + """select p.user_id, d.doc_id as job_id,
          cast(floor(len(list_filter(p.skills, lambda s: contains(lower(d.text), s))) / cast(len(p.skills) as double)
            * 100e0 + 0.5e0) as int) as match_percentage
-       from documents d join prof p on p.user_id = d.n_chars % (select count(*) from prof)""",
+       from documents d join prof p on p.conv_id = d.n_chars % (select max(conv_id) + 1 from prof)""",
 )
 def pair_match(load):
     profiles = _profiles(load)
-    total = profiles.agg(F.count(F.lit(1))).scalar()
-    pairs = load("documents").select(F.col("doc_id").alias("job_id"), (F.col("n_chars") % total).alias("user_id"))
+    total = profiles.agg(F.max("conv_id") + 1).scalar()
+    jobs = load("documents").select(F.col("doc_id").alias("job_id"), (F.col("n_chars") % total).alias("conv_id"))
+    pairs = jobs.join(profiles.select("conv_id", "user_id"), "conv_id").select("user_id", "job_id")
     return skills.pair_match(pairs, profiles, load("v_text_jobs"))
 
 
