@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hirespan.llm import pii, quality
-from hirespan.llm.tables import Query, table
+from hirespan.llm import packing, pii, quality, tokenfile
+from hirespan.llm.tables import Query, table, work_folder
 
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Query] = {}
 
 
@@ -25,3 +28,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(docs).drop("text", "found")
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.packed(docs, public_tokenizers.path(TOKENIZER))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = work_folder(spark, "tokens")
+    index = tokenfile.write(docs, folder, public_tokenizers.path(TOKENIZER))
+    return tokenfile.read_back(tokenfile.placed(index), folder)

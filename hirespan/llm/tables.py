@@ -47,3 +47,9 @@ def package_root() -> str:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark hands to a Python worker at once, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
