@@ -42,3 +42,31 @@ m as (select doc_id, len(words)::bigint as n_words,
 f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed from m)
 select *, not base_failed and {_rules()} as kept from f
 """
+
+_REST = r"regexp_extract(coalesce(url, ''), '^(?s:.*?)://((?s:.*))$', 1)"
+ORACLES["op3_url_filter"] = rf"""
+with r as (select page_id, {_REST} as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+j as (select *, case
+    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from p)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from j
+"""
+
+_TEXT = r"regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')"
+_ROLE = r"regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')"
+ORACLES["op8_chat_format"] = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+           union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, '### ' || {_ROLE} || ': ' || {_TEXT} || ' </turn>' || chr(10) as line from t)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, line)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, line), '')) as loss_sha256,
+       sum(length(line))::bigint as formatted_chars
+from e group by conv_id
+"""

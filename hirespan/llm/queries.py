@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirespan.llm import packing, pii, quality, tokenfile
-from hirespan.llm.tables import Query, table, work_folder
+from hirespan.llm import chat, compression, packing, pii, quality, tokenfile, urlfilter
+from hirespan.llm.tables import Query, remainder, table, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,37 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "tokens")
     index = tokenfile.write(docs, folder, public_tokenizers.path(TOKENIZER))
     return tokenfile.read_back(tokenfile.placed(index), folder)
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder() != 0).select("doc_id", F.col("quality").alias("label"))
+    model = compression.fitted(docs.join(labels, "doc_id"))
+    docs = docs.withColumn("held_out", F.coalesce(remainder() == 0, F.lit(False)))
+    return compression.scored(docs, model).drop("text")
+
+
+# The conversation that every run of the query holds besides the table's.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    return chat.read_back(chat.formatted(turns.unionByName(probe)))
