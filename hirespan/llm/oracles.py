@@ -70,3 +70,25 @@ select conv_id, count(*)::bigint as n_turns,
        sum(length(line))::bigint as formatted_chars
 from e group by conv_id
 """
+
+ORACLES["op1_near_duplicates"] = f"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '{WS}+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, unnest(case when len(words) = 0 then [] when len(words) = 1 then [words[1]]
+        else list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+f as (select shingle, count(*) as df from s group by shingle),
+r as (select s.doc_id, shingle, n, row_number() over (partition by s.doc_id order by df, shingle) as place
+      from s join f using (shingle) join n using (doc_id)),
+p as (select * from r where place <= n - ceil(0.8 * n) + 1),
+c as (select distinct x.doc_id as a, y.doc_id as b from p x join p y on x.shingle = y.shingle and x.doc_id < y.doc_id),
+k as (select a, b, count(*) as shared from c join s x on x.doc_id = a join s y on y.doc_id = b and y.shingle = x.shingle group by a, b),
+l as (select a, b from k join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as doc_id, b as other from e union select reach.doc_id, e.b from reach join e on e.a = reach.other),
+m as (select doc_id, min(other) as low from reach group by doc_id)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) as component_id,
+       w.doc_id = least(w.doc_id, coalesce(low, w.doc_id)) as kept
+from w left join n using (doc_id) left join m using (doc_id)
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirespan.llm import chat, compression, packing, pii, quality, tokenfile, urlfilter
+from hirespan.llm import chat, compression, neardup, packing, pii, quality, tokenfile, urlfilter
 from hirespan.llm.tables import Query, remainder, table, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,3 +79,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(PROBE).alias("text"),
     )
     return chat.read_back(chat.formatted(turns.unionByName(probe)))
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
