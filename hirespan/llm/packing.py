@@ -27,7 +27,7 @@ from hirespan.llm import tokens
 from hirespan.llm.tables import small_batches
 
 WINDOW = 1024
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 TRIPLES = 8  # combinations of three looked at for each longest member
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 0
-CACHE = 300_000
+CACHE = 400_000
 LONGEST = 48  # characters of what is remembered
 CUTS = re.compile(r"""(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])|(?<=\S\n)(?=\S)""")
 BARE_SPACE = re.compile(r" (?=\s|$)")  # a space that belongs to no word
@@ -92,7 +92,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def parts_of(batch: pa.RecordBatch, text: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, text: str, most: int = 5_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
