@@ -17,23 +17,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words (A-Z lower-cased, split at bytes 9 to 13 and 32), the code of each word, and where texts start."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(texts)
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word (A-Z lower-cased, split at bytes 9 to 13 and 32), and where texts start."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    split = pc.split_pattern(pc.replace_substring_regex(texts, r"[\x09-\x0D]", " "), " ")
     at = split.offsets.to_numpy() - split.offsets[0].as_py()
     encoded = split.flatten().dictionary_encode()
-    words, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy().astype(np.int64)
-    if "" in words:  # what lies before a leading space and behind a trailing one
-        full = codes != words.index("")
-        at, codes = np.append(0, np.cumsum(full))[at], codes[full]
-    return words, codes, at
-
-
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and where texts start."""
-    words, codes, at = coded(texts)
+    codes = encoded.indices.to_numpy().astype(np.int64)
+    words = [w.encode().lower() for w in encoded.dictionary.to_pylist()]  # of bytes, lower() is for A-Z only
     values = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    if b"" in words:  # what lies between spaces next to each other
+        full = codes != words.index(b"")
+        at, codes = np.append(0, np.cumsum(full))[at], codes[full]
     return (values[codes] if len(words) else np.empty(0, np.uint64)), at
 
 
