@@ -34,6 +34,7 @@ from hirespan.llm.tables import small_batches
 
 VERDICTS = ("allow", "block")
 MOST_BYTES = 256 << 20
+_SENT: set[tuple[str, str]] = set()  # by application and name
 
 
 def key(text: bytes) -> int:
@@ -135,11 +136,13 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") ->
     raw = store(rules)
     if len(raw) > MOST_BYTES:
         return judged_by_join(pages, spark.createDataFrame(rules, "rule string, verdict string"), url)
-    name = f"rules-{xxhash.xxh64_hexdigest(raw)}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="hirespan-rules-"), name)
-    with open(path, "wb") as file:
-        file.write(raw)
-    spark.sparkContext.addFile(path)  # the driver serves it; executors keep a copy each
+    name = f"rules-{xxhash.xxh3_128_hexdigest(raw)}.bin"
+    if (spark.sparkContext.applicationId, name) not in _SENT:
+        path = os.path.join(tempfile.mkdtemp(prefix="hirespan-rules-"), name)
+        with open(path, "wb") as file:
+            file.write(raw)
+        spark.sparkContext.addFile(path)  # the driver serves it; executors keep a copy each
+        _SENT.add((spark.sparkContext.applicationId, name))
     parts = with_parts(pages.drop("rule", "verdict"), url)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
