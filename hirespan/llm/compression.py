@@ -101,16 +101,24 @@ def _expanded(x: np.ndarray, mean: tuple, scale: tuple) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, *pairs])
 
 
-def fitted(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> Model:
-    """A model from rows of (id, text, label), label 1 for good."""
-    rows = labelled.where(F.col(label).isin(0, 1) & (F.col(text) != "")).select(
-        F.col(label).cast("int").alias("y"), F.xxhash64(doc_id).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label") -> Model:
+    """A model from the texts of ``docs`` and ``labels`` (id, label), label 1 for good.
+
+    Ids are chosen from the labels alone; only the chosen rows' texts are read out.
+    """
+    spark = docs.sparkSession
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(doc_id).alias("h")
     )
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    if len(counts) < 2:
+    chosen = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "id").limit(SAMPLE).collect()]
+    chosen = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
+    found = docs.where(F.col(text) != "").join(F.broadcast(chosen), F.col(doc_id) == F.col("id"))
+    found = found.select("id", "y", F.substring(text, 1, SAMPLE_CHARS).alias("t")).distinct().collect()
+    sample = {y: sorted((r for r in found if r["y"] == y), key=lambda r: (r["id"], r["t"])) for y in (0, 1)}
+    if not sample[0] or not sample[1]:
         return Model((b"", b""), (), (), (), share)
-    sample = {y: rows.where(F.col("y") == y).orderBy("h", "t").limit(SAMPLE).collect() for y in (0, 1)}
     texts = {y: [r["t"].encode("utf-8", "replace") for r in sample[y]] for y in (0, 1)}
     first = {y: texts[y][0::2] for y in (0, 1)}
     rest = {y: texts[y][1::2] or texts[y] for y in (0, 1)}

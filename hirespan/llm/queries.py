@@ -60,7 +60,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder() != 0).select("doc_id", F.col("quality").alias("label"))
-    model = compression.fitted(docs.join(labels, "doc_id"))
+    model = compression.fitted(docs, labels)
     docs = docs.withColumn("held_out", F.coalesce(remainder() == 0, F.lit(False)))
     return compression.scored(docs, model).drop("text")
 
