@@ -8,7 +8,7 @@ pairs at the similarity 0.8 itself, one in a million shares none.) Links are con
 Texts with equal sets form a class by a digest of the set, summed up before any shuffle; all else works
 on classes. Within an entry every class is first held against the entry's smallest one, which joins a
 group of near copies without all its pairs. What is then still in different components of one entry is
-held against each other, pair by pair, so no link between components is lost.
+held against each other in blocks, so no link between components is lost.
 
 Defined results: a text without words has an empty set, is its own component and linked with nothing;
 one with fewer words than a shingle has all of them as its one shingle. Repeated rows belong to one
@@ -35,6 +35,8 @@ WIDTH = 2
 SHARE = 80  # per cent of the union that the intersection must reach
 # At the least similarity linked, 22 of 112 symbols differ on average; more than 46 do in one pair of ten million.
 FARTHEST = 46
+BLOCK = 8 << 20
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PLACES = np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64)
 _A = words.mixed(_PLACES).astype(np.uint32) | np.uint32(1)
 _B = words.mixed(_PLACES + np.uint64(1000)).astype(np.uint32)
@@ -56,8 +58,10 @@ def entries(signatures: np.ndarray) -> np.ndarray:
     return words.mixed(terms.sum(2, dtype=np.uint64)[:, :, None] - terms + left_out)
 
 
-def _per_text(docs: DataFrame, schema: str, width: int, row: Callable[[np.ndarray], tuple]) -> DataFrame:
-    """One row per document from its set of shingles."""
+def _per_text(
+    docs: DataFrame, schema: str, width: int, row: Callable[[np.ndarray], tuple], name: str = "doc_id"
+) -> DataFrame:
+    """One row per document, its id under ``name``, from its set of shingles."""
     names = [part.split()[0] for part in schema.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +69,7 @@ def _per_text(docs: DataFrame, schema: str, width: int, row: Callable[[np.ndarra
             for some in tokens.parts_of(batch, "text"):
                 rows = [row(s) for s in words.shingle_sets(some.column("text"), width)]
                 columns = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
-                yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), **columns})
+                yield pa.RecordBatch.from_pydict({name: some.column("doc_id"), **columns})
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -138,6 +142,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> Data
     return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
+def _crossing(sets: list[np.ndarray], sigs: np.ndarray, places: np.ndarray, pairs: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """Links found between members of different places, row by row; a link makes two places one from then on.
+
+    ``pairs`` says for each member which others it is held against (a matrix, upper half).
+    """
+    sizes = np.array([len(s) for s in sets])
+    places, found = places.copy(), []
+    for k in range(len(sets) - 1):
+        others = k + 1 + np.flatnonzero(pairs[k, k + 1 :] & (places[k + 1 :] != places[k]))
+        least, most = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+        others = others[100 * least >= share * most]
+        others = others[(sigs[others] != sigs[k]).sum(1) <= FARTHEST]
+        if not len(others):
+            continue
+        ends = np.cumsum(sizes[others])
+        values = np.concatenate([sets[j] for j in others])
+        at = np.minimum(np.searchsorted(sets[k], values), sizes[k] - 1)
+        shared = np.add.reduceat(sets[k][at] == values, ends - sizes[others], dtype=np.int64)
+        for j in others[100 * shared >= share * (sizes[others] + sizes[k] - shared)]:
+            if places[j] != places[k]:
+                found.append((k, int(j)))
+                places[places == places[j]] = places[k]
+    return found
+
+
+def linked_within(rest: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+    """Links (a, b) between members of one entry that are in different components.
+
+    ``rest`` has (first, rep, component): the smallest member of an entry, and each member. Members that
+    entries connect form a cluster. A cluster's sets are dealt into blocks of about ``BLOCK`` bytes and
+    each two blocks meet in one group, so a group is bounded and no rows are made of pairs.
+    """
+    clusters = components(rest.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    members = rest.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = _per_text(
+        texts, "rep long, shingles binary, sig binary", width, lambda s: (s.tobytes(), signature(s)), "rep"
+    )
+    members = written(members.join(sets, "rep"), "sets")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        reps, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(reps), -1)
+        one = group.column("low")[0] == group.column("high")[0]
+        pairs = np.ones((len(reps), len(reps)), bool) if one else block[:, None] != block
+        found = _crossing(sets, sigs, group.column("component").to_numpy(), pairs, share)
+        return pa.table({"a": reps[[i for i, _ in found]], "b": reps[[j for _, j in found]]}, LINKS)
+
+    columns = ["cluster", "low", "high", "rep", "component", "block", "shingles", "sig"]
+    return dealt.select(columns).groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     docs = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
@@ -154,18 +216,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = written(confirmed(written(close(pairs, classes, share), "pairs"), docs, width, share), "links")
     labels = components(links)
 
-    # Entries whose members are still in different components: what has not been held against each other yet.
+    # Entries whose members are still in different components hold pairs not yet held against each other.
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("low < high").select("key")
-    rest = written(placed.join(mixed, "key").join(classes.select("rep", "n"), "rep"), "rest")
-    other = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"))
-    cross = rest.join(other, "key").where("rep < b and component <> other")
-    cross = cross.where(100 * F.least("n", "m") >= share * F.greatest("n", "m"))
-    more = cross.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    later = written(confirmed(written(close(more, classes, share), "pairs"), docs, width, share), "links")
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("first")
+    )
+    rest = written(placed.join(mixed.where("low < high").select("key", "first"), "key").select("first", "rep", "component").distinct(), "rest")
+    later = written(linked_within(rest, docs, width, share), "links")
     if later.limit(1).count():
         labels = components(links.union(later))
 
