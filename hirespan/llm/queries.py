@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirespan.llm import chat, compression, neardup, packing, pii, quality, tokenfile, urlfilter
+from hirespan.llm import chat, compression, ctw, decontaminate, neardup, packing, pii, quality, tokenfile, urlfilter
 from hirespan.llm.tables import Query, remainder, table, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,3 +84,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark")
+    findings = decontaminate.findings(docs, benchmark)
+    return decontaminate.best_of(docs.select("doc_id"), findings)
+
+
+@query
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder() == 1, F.lit(False))
+    return ctw.scored(docs, ~held_out).select("doc_id", held_out.alias("held_out"), *ctw.RESULTS)
