@@ -1,25 +1,68 @@
-"""A corpus pipeline: each stage works on all that the one before it kept, as a written table."""
+"""A corpus pipeline: each stage works on all that the one before it kept, as a written table.
+
+Quality rules, near-duplicates, benchmark passages, personal data, packing. Each stage calls one operator
+of ``hirespan.llm``; its decisions take effect, and all but the last return the columns of documents.
+
+Defined results: null and empty texts fail the quality rules. Of rows with equal ids one stays behind the
+near-duplicate stage; rows without an id are held against each other by text only. An empty table gives
+no pieces. Columns beyond those of documents are carried on to the last stage, which does not look at them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hirespan.llm import pii, quality
+from hirespan.llm import decontaminate, neardup, packing, pii, quality
+from hirespan.llm.queries import TOKENIZER
 from hirespan.llm.tables import table, written
 
+SHINGLE_WORDS, SIMILAR = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.passing(docs)
 
 
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    groups = neardup.near_duplicates(docs, width=SHINGLE_WORDS, share=SIMILAR)
+    kept = docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
+    return kept.dropDuplicates(["doc_id"]).unionByName(unnamed).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.findings(docs, table(spark, sf_dir, "benchmark"))
+    found = written(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` follows the new text."""
-    return pii.redacted(docs)
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids cut into pieces that fill sequences."""
+    pieces = packing.packed(docs, public_tokenizers.path(TOKENIZER))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
 
 
-STAGES = [("quality_rules", quality_rules), ("pii", redact_pii)]
-#: Decontamination goes by a latent-semantic model, which SQL cannot express.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+#: Tokens and latent semantic retrieval are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
