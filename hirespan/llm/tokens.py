@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 0
-CACHE = 400_000
+CACHE = 200_000
 LONGEST = 48  # characters of what is remembered
 CUTS = re.compile(r"""(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])|(?<=\S\n)(?=\S)""")
 BARE_SPACE = re.compile(r" (?=\s|$)")  # a space that belongs to no word
@@ -92,13 +92,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def parts_of(batch: pa.RecordBatch, text: str, most: int = 5_000_000) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
     starts = [0, *(np.flatnonzero(np.diff(part)) + 1)] if len(part) else []
     for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(start), int(end - start))
+        pa.default_memory_pool().release_unused()  # several workers share what an executor has
 
 
 def with_end(ids: np.ndarray, starts: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
