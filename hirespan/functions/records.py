@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hirespan.functions.scoring import rank_tier
 from hirespan.functions.text import let, strip_fence, strip_fence_marks
-from hirespan.operators.skew import spread, with_value
+from hirespan.operators.skew import with_value
 
 # Defaults for missing fields.
 DEFAULT_SCORE = 50
@@ -74,7 +74,7 @@ def read_objects(node: Column, path: str, build, schema: str) -> Column:
 
 
 def _split(responses: DataFrame, cleaned: Column) -> tuple[DataFrame, DataFrame]:
-    parsed = with_value(spread(responses), "_node", to_variant(cleaned))
+    parsed = with_value(responses, "_node", to_variant(cleaned))
     good = parsed.where(F.col("_node").isNotNull())
     bad = parsed.where(F.col("_node").isNull()).drop("_node").withColumn("reason", F.lit("unreadable response"))
     return good, bad
@@ -143,7 +143,7 @@ def parse_fits(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_profiles(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resume profiles. An unreadable response still gives an (empty) profile, and a reject row."""
-    parsed = with_value(spread(responses), "_node", to_variant(strip_fence_marks(F.col("response"))))
+    parsed = with_value(responses, "_node", to_variant(strip_fence_marks(F.col("response"))))
     node = F.col("_node")
     number = read_number(node, "$.yearsExperience")
     given = F.try_variant_get(node, "$.yearsExperience", "string").isNotNull()

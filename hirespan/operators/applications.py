@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirespan.functions import scoring
@@ -15,9 +15,9 @@ APPLICATION_STATUSES = ALLOWED["applications", "status"]
 SORT_KEYS = ["company", "job_title", "status", "match_score", "applied_at", "deadline"]
 
 
-def _with_job(rows: DataFrame, job_columns: DataFrame, spread_by: str) -> DataFrame:
-    """Rows with the columns of their job, if any; a job may hold any share of the rows."""
-    return salted_join(rows, job_columns, ["job_id"], [spread_by], "left")
+def _with_job(rows: DataFrame, job_columns: DataFrame) -> DataFrame:
+    """Rows with the columns of their job, if any; Spark splits the join of a job with many rows."""
+    return rows.join(job_columns, "job_id", "left")
 
 
 def resume_name() -> Column:
@@ -32,7 +32,7 @@ def application_list(
     resumes: DataFrame,
     scores: DataFrame,
     parts: int | None = None,
-    floor: int | None = None,
+    floor: int = 0,
 ) -> DataFrame:
     """Applications with job, resume and, if there is one, score columns."""
     with_job = salted_join(
@@ -65,7 +65,7 @@ def application_list(
 
 def saved_list(saved: DataFrame, jobs: DataFrame) -> DataFrame:
     columns = ["job_id", "title", "company", "location", "employment_type", "posted_at", "source_url"]
-    return salted_join(saved, jobs.select(*columns), ["job_id"], ["user_id"]).select("user_id", *columns, "saved_at")
+    return saved.join(jobs.select(*columns), "job_id").select("user_id", *columns, "saved_at")
 
 
 def roast_list(roasts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def roast_list(roasts: DataFrame, jobs: DataFrame) -> DataFrame:
     names = jobs.select("job_id", F.col("title").alias("job_title"), "company")
     general = [F.coalesce("job_title", F.lit("General Roast")).alias("job_title"),
                F.coalesce("company", F.lit("—")).alias("company")]
-    with_job = _with_job(tiered.where("job_id is not null"), names, "roast_id")
+    with_job = _with_job(tiered.where("job_id is not null"), names)
     without = tiered.where("job_id is null").withColumns(
         {"job_title": F.lit(None).cast("string"), "company": F.lit(None).cast("string")}
     )
@@ -104,6 +104,15 @@ def sort_by(rows: DataFrame, key: str, descending: bool, tie: str = "application
     return rows.orderBy(column.desc() if descending else column.asc(), tie)
 
 
+def with_position(rows: DataFrame, key: str, descending: bool, owner: str = "user_id", tie: str = "application_id") -> DataFrame:
+    """All rows with their ``position`` in their owner's list sorted by ``key``."""
+    if key not in SORT_KEYS:
+        raise ValueError(f"cannot sort by {key!r}; known keys: {', '.join(SORT_KEYS)}")
+    column = F.col(key)
+    order = Window.partitionBy(owner).orderBy(column.desc() if descending else column.asc(), tie)
+    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 def status_condition(wanted: str) -> Column:
     """``ALL``, ``APPLIED`` (scored ones too), or exactly the status."""
     status = F.col("status")
@@ -133,7 +142,7 @@ def accept_applications(
     checked = (
         batch.select(*keys, "_first.applied_at", "_first.resume_id", "_copies")
         .join(existing.select(*keys, F.lit(True).alias("_exists")), keys, "left")
-        .transform(_with_job, jobs.select("job_id", F.col("status").alias("_job_status")), "user_id")
+        .transform(_with_job, jobs.select("job_id", F.col("status").alias("_job_status")))
         .join(resumes.select("resume_id", F.col("user_id").alias("_owner")), "resume_id", "left")
         .withColumn(
             "reason",
@@ -163,7 +172,7 @@ def score_applications(
     requirements: DataFrame,
     jobs: DataFrame,
     parts: int | None = None,
-    floor: int | None = None,
+    floor: int = 0,
 ) -> DataFrame:
     """Match score and its four parts; null where a profile or requirement list is missing.
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions.text import keyword_match, normal_skills
-from hirespan.operators.skew import spread
 
 # Page size if the asked one is out of range, and that range.
 DEFAULT_SIZE, LARGEST_SIZE = 20, 100
@@ -82,7 +81,7 @@ def feed_page(
 
 def with_match(jobs: DataFrame, profile: DataFrame) -> DataFrame:
     """Jobs with the match percentage of one profile (a single row with ``skills``)."""
-    return _match(spread(jobs), profile)
+    return _match(jobs, profile)
 
 
 def _match(jobs: DataFrame, profile: DataFrame) -> DataFrame:

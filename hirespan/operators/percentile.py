@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirespan.operators.skew import salted_join, with_order_slices, worth_splitting
+from hirespan.operators.skew import with_order_slices
 
 # Applicants needed before a percentile is shown; percentile of an empty pool.
 FIRST_RANKED_APPLICANT = 5
@@ -63,25 +63,17 @@ def _cumulative(scores: DataFrame) -> DataFrame:
     )
 
 
-def _with_pool(scores: DataFrame, parts: int | None, floor: int | None) -> DataFrame:
-    """Scores with ``n_up_to`` and ``n_job``.
+def _with_pool(scores: DataFrame) -> DataFrame:
+    """Scores with ``n_up_to`` and ``n_job``, joined from the counts per (job, score).
 
-    A large input is joined to its score counts, heavy (job, score) pairs spread over several
-    tasks. A small one is counted in place, by one shuffle on the job.
+    A heavy (job, score) pair meets a single row, so the join is left to Spark's own splitting of skewed joins.
     """
-    if worth_splitting(scores, floor):
-        keys = ["job_id", "match_score"]
-        return salted_join(scores, _cumulative(scores), keys, ["application_id"], parts=parts, floor=floor)
-    by_job = Window.partitionBy("job_id")
-    up_to = by_job.orderBy("match_score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return scores.withColumns({"n_up_to": F.count(F.lit(1)).over(up_to), "n_job": F.count(F.lit(1)).over(by_job)})
+    return scores.join(_cumulative(scores), ["job_id", "match_score"])
 
 
-def snapshot_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int | None = None
-) -> DataFrame:
+def snapshot_percentile(scores: DataFrame) -> DataFrame:
     """Share of the job's finished pool with a score up to one's own, own row included."""
-    return _with_pool(scores, parts, floor).select(
+    return _with_pool(scores).select(
         "application_id",
         "job_id",
         "match_score",
@@ -92,7 +84,7 @@ def snapshot_percentile(
 
 
 def arrival_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int | None = None, keep_counts: bool = False
+    scores: DataFrame, parts: int | None = None, floor: int = 0, keep_counts: bool = False
 ) -> DataFrame:
     """What each applicant was told on arrival.
 
@@ -102,13 +94,12 @@ def arrival_percentile(
     gives the bare counts ``_n`` (earlier rows) and ``_le`` (those with a score up to one's own).
     """
     order = ["scored_at", "application_id"]
-    sliced = worth_splitting(scores, floor)
     rows = (
-        (with_order_slices(scores, "job_id", order, parts, floor) if sliced else scores.withColumn("slice", F.lit(0)))
+        with_order_slices(scores, "job_id", order, parts, floor)
         .withColumn("_high", F.floor(F.col("match_score") / BASE).cast("int"))
         .withColumn("_low", F.pmod("match_score", F.lit(BASE)))
     )
-    group = ["job_id", "slice"] if sliced else ["job_id"]
+    group = ["job_id", "slice"]
     earlier = (
         Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -125,18 +116,12 @@ def arrival_percentile(
         F.count(F.lit(1)).over(earlier).alias("_n_in_slice"),
         (F.get(highs, F.col("_high")) + F.get(lows, F.col("_low"))).alias("_le_in_slice"),
     )
-    if sliced:
-        zero = F.lit(0).cast("long")
-        before = F.broadcast(_before_slice(rows))
-        full = counted.join(before, ["job_id", "slice", "match_score"], "left").select(
-            *scores.columns,
-            (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
-            (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),
-        )
-    else:
-        full = counted.select(
-            *scores.columns, F.col("_n_in_slice").alias("_n"), F.col("_le_in_slice").alias("_le")
-        )
+    zero = F.lit(0).cast("long")
+    full = counted.join(_before_slice(rows), ["job_id", "slice", "match_score"], "left").select(
+        *scores.columns,
+        (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
+        (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),
+    )
     return full if keep_counts else with_arrival_state(full, scores.columns)
 
 
@@ -187,12 +172,12 @@ def _before_slice(rows: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(scores: DataFrame, parts: int | None = None, floor: int | None = None) -> DataFrame:
+def leaderboard(scores: DataFrame) -> DataFrame:
     """Rank within the job by score, best first; equal scores share a rank.
 
     The rank is one plus the rows with a higher score, so it comes from the score counts.
     """
-    return _with_pool(scores, parts, floor).select(
+    return _with_pool(scores).select(
         "job_id",
         "application_id",
         "match_score",

@@ -4,10 +4,6 @@
 ``with_order_slices`` cuts the ordered rows of heavy keys into value ranges, so that a running
 count can be taken per slice and completed with the sums of the slices before it.
 
-Both cost extra passes over the input, so both first look at the size of the files the input
-is read from. Below ``SPLIT_INPUT`` bytes no key can overload a task and the plain plan is used;
-that choice touches speed only, never the result.
-
 Both find heavy keys from a count per key. A key counts as heavy when it holds more than
 ``1 / parts`` of all rows, so there are fewer than ``parts`` of them whatever the data: that is
 the bound which makes broadcasting the list of heavy keys safe.
@@ -18,38 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys below this many rows are never split: one task handles them easily.
-SPLIT_FLOOR = 2_000_000
-# Inputs read from fewer bytes than this are not worth the extra passes.
-SPLIT_INPUT = 1 << 30
 # Sampled rows per slice when looking for slice bounds. The sample only places the bounds.
 SAMPLES_PER_SLICE = 16
 
 
-# Most parts a table is cut into, so that what is broadcast about the parts stays small.
+# Most parts a table may be cut into, so that what is broadcast about the parts stays small.
 MOST_PARTS = 8192
 
 
-def default_parts(df: DataFrame) -> int:
-    """As many parts as shuffles have, so that a slice is about the size of a partition."""
-    return min(MOST_PARTS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of what the frame is read from, as Spark knows it; unknown sizes count as very large."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input dealt out over all cores before costly work on each row.
-
-    A small file is often a single row group, which one task would read and work on alone. Large
-    inputs come in enough pieces by themselves and are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = not df.isStreaming and cores > 1 and input_bytes(df) < SPLIT_INPUT
-    return df.repartition(cores) if small else df
+def checked_parts(df: DataFrame, parts: int | None) -> int:
+    """``parts``, by default as many as shuffles have; more than ``MOST_PARTS`` are refused."""
+    parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    if parts > MOST_PARTS:
+        raise ValueError(f"{parts} parts asked for, at most {MOST_PARTS} are possible")
+    return parts
 
 
 def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -60,17 +38,12 @@ def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def worth_splitting(df: DataFrame, floor: int | None) -> bool:
-    """An explicit ``floor`` always asks for splitting."""
-    return floor is not None or input_bytes(df) >= SPLIT_INPUT
-
-
-def heavy_keys(df: DataFrame, keys: list[str], parts: int, floor: int | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: list[str], parts: int, floor: int = 0) -> DataFrame:
     """Keys with more than ``total / parts`` rows (and more than ``floor``), with ``n_rows`` and ``n_total``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        counts.where(F.col("n_rows") > F.lit(SPLIT_FLOOR if floor is None else floor))
+        counts.where(F.col("n_rows") > F.lit(floor))
         .where(F.col("n_rows") * F.lit(parts) > total)
         .select(*keys, "n_rows", total.alias("n_total"))
     )
@@ -83,16 +56,14 @@ def salted_join(
     spread_by: list[str],
     how: str = "inner",
     parts: int | None = None,
-    floor: int | None = None,
+    floor: int = 0,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` on ``on``, spreading heavy keys of ``fact`` over several tasks.
 
     Rows of a heavy key are dealt out by a hash of ``spread_by``; the matching ``dim`` rows are
     repeated once per share, and only those. ``how`` is ``inner`` or ``left``.
     """
-    if not worth_splitting(fact, floor):
-        return fact.join(dim, on, how)
-    parts = parts or default_parts(fact)
+    parts = checked_parts(fact, parts)
     heavy = heavy_keys(fact, on, parts, floor).select(
         *on, F.ceil(F.col("n_rows") * F.lit(parts) / F.col("n_total")).cast("int").alias("_shares")
     )
@@ -129,14 +100,14 @@ def with_order_slices(
     key: str,
     order: list[str],
     parts: int | None = None,
-    floor: int | None = None,
+    floor: int = 0,
 ) -> DataFrame:
     """Add ``slice`` (0 for all but heavy keys) and ``is_sliced``; slices follow ``order``.
 
     ``order`` must be unique within a key. Bounds come from a hash-based sample, so every run
     of the plan, and every retry of a task, sees the same slices.
     """
-    parts = parts or default_parts(df)
+    parts = checked_parts(df, parts)
     heavy = heavy_keys(df, [key], parts, floor)
     point = F.struct(*order)
     one_in = F.greatest(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirespan.functions.scoring import round_half_up
 from hirespan.functions.text import let, normal_skills, skill_columns
-from hirespan.operators.skew import salted_join, spread
+from hirespan.operators.skew import salted_join
 
 # Category of each known skill, and the order categories are shown in.
 SKILL_CATEGORIES = {
@@ -32,7 +32,7 @@ CATEGORY_ORDER = ["Languages", "Frameworks", "Infrastructure", "Databases", "Con
 def requirement_profiles(jobs: DataFrame, **options) -> DataFrame:
     """``job_id, required_skills, preferred_skills, extraction_method`` from ``description_text``."""
     found = skill_columns(F.col("description_text"), **options)
-    return spread(jobs.select("job_id", "description_text")).select("job_id", found.alias("_skills")).select(
+    return jobs.select("job_id", found.alias("_skills")).select(
         "job_id",
         F.col("_skills.required").alias("required_skills"),
         F.col("_skills.preferred").alias("preferred_skills"),
@@ -101,7 +101,7 @@ def skill_tree(
 
 
 def pair_match(
-    pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, parts: int | None = None, floor: int | None = None
+    pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, parts: int | None = None, floor: int = 0
 ) -> DataFrame:
     """Keyword match percentage for many ``(user_id, job_id)`` pairs.
 

@@ -19,7 +19,7 @@ LIST_SQL = """
         range between unbounded preceding and current row)
         / count(*) over (partition by job_id) + 0.5e0) as int) as percentile,
       count(*) over (partition by job_id) as applicant_count
-    from v_scores where match_score >= 30),
+    from v_scores),
   listed as (
     select a.application_id, a.user_id, a.job_id, j.title as job_title, j.company, a.status,
       coalesce(s.match_score, 0) as match_score, s.percentile, coalesce(s.applicant_count, 0) as applicant_count,
@@ -32,10 +32,8 @@ LIST_SQL = """
 
 
 def _listed(load):
-    # Low scores count as "not scored yet", so that missing scores occur.
-    scored = load("v_scores").where(F.col("match_score") >= 30)
     return apps.application_list(
-        load("v_applications"), load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(scored)
+        load("v_applications"), load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(load("v_scores"))
     )
 
 
@@ -46,10 +44,11 @@ def application_list(load):
 
 @query(
     "application_sort_o5",
-    LIST_SQL + "select * from listed order by match_score desc, application_id limit 100",
+    LIST_SQL
+    + "select *, row_number() over (partition by user_id order by match_score desc, application_id) as position from listed",
 )
 def application_sort(load):
-    return apps.sort_by(_listed(load), "match_score", descending=True).limit(100)
+    return apps.with_position(_listed(load), "match_score", descending=True)
 
 
 @query(

@@ -365,9 +365,8 @@ def json_columns(load):
        from listed""",
 )
 def application_export(load):
-    scored = load("v_scores").where(F.col("match_score") >= 30)
     listed = apps.application_list(
-        load("v_applications"), load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(scored)
+        load("v_applications"), load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(load("v_scores"))
     )
     return exports.application_export(listed)
 

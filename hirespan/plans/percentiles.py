@@ -9,15 +9,14 @@ from hirespan.plans.registry import query
 @query(
     "arrival_percentile_w4_w7",
     """with ranked as (
-         select *, row_number() over (partition by job_id order by scored_at, application_id) as n from v_scores),
-       pairs as (
-         select a.application_id, count(b.n) as earlier, count(*) filter (b.match_score <= a.match_score) as le
-         from ranked a left join ranked b on a.job_id = b.job_id and b.n < a.n group by a.application_id)
-       select r.application_id, r.user_id, r.job_id, r.scored_at, r.match_score,
-         cast(r.n as bigint) as applicant_count,
-         case when r.n < 5 then 'EARLY_APPLICANT' else 'PERCENTILE_READY' end as benchmark_state,
-         case when r.n < 5 then null else cast(floor(100.0 * p.le / p.earlier + 0.5) as int) end as percentile
-       from ranked r join pairs p using (application_id)""",
+         select *, list(match_score) over (partition by job_id order by scored_at, application_id
+           rows between unbounded preceding and 1 preceding) as earlier from v_scores),
+       counted as (select * exclude (earlier), len(coalesce(earlier, [])) as n,
+           len(list_filter(coalesce(earlier, []), lambda s: s <= match_score)) as le from ranked)
+       select application_id, user_id, job_id, scored_at, match_score, cast(n + 1 as bigint) as applicant_count,
+         case when n < 4 then 'EARLY_APPLICANT' else 'PERCENTILE_READY' end as benchmark_state,
+         case when n < 4 then null else cast(floor(100.0 * le / n + 0.5) as int) end as percentile
+       from counted""",
 )
 def arrival_percentile(load):
     return pct.arrival_percentile(load("v_scores"))

@@ -41,12 +41,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # by application
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's checkpoint folder.
 
-    Only where the session names none (tests, a laptop) is a temporary folder used.
+    Only a local session that names none (tests, a laptop) gets a temporary folder; a session whose
+    executors run elsewhere is refused, as each would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="hirespan-")
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="hirespan-")
+        _LOCAL[context.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,92 +1,16 @@
-"""Which companies are read from which board, and small reference tables."""
+"""Reference tables that a caller brings along."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.sources.store import has_rows, write_table
 
-# Companies with a board. Their token is the name in lower case without blanks,
-# but for the two below.
-BOARD_COMPANIES = [
-    "Stripe", "Airbnb", "Coinbase", "DoorDash", "Robinhood", "Plaid", "Databricks", "Figma", "Brex", "Scale AI",
-    "Airtable", "Benchling", "Checkr", "Chime", "Confluent", "Coursera", "Discord", "Duolingo", "Faire", "Gem",
-    "HashiCorp", "Instacart", "Lattice", "Lyft", "Marqeta", "Mixpanel", "MongoDB", "Navan", "Okta", "Pagerduty",
-    "Palantir", "Reddit", "Rippling", "Samsara", "Segment", "Snowflake", "Twilio", "Zendesk", "Zoom",
-    "Amplitude", "Asana", "Canva", "Carta", "Coda", "Cockroach Labs", "Datadog", "dbt Labs", "Dropbox", "Figma",
-    "Grammarly", "Gusto", "Intercom", "Linear", "Loom", "Mercury", "Notion", "OpenAI", "Retool", "Superhuman",
-    "Vercel", "Webflow", "Zapier",
-    "Affirm", "Block", "Klarna", "Kraken", "Nerdwallet", "SoFi",
-    "SpaceX", "Relativity Space", "Joby Aviation",
-    "Salesforce", "Workday", "ServiceNow", "Splunk", "Elastic", "New Relic",
-]
-BOARD_TOKENS = {"Navan": "tripactions", "Cockroach Labs": "cockroachdb"}
-POSTING_COMPANIES = [
-    "Cloudflare", "Notion", "Figma", "Verkada", "Ramp", "Anduril", "Grammarly", "Intercom", "Lattice", "Linear",
-    "Plaid", "Scale AI", "Vercel", "Webflow", "Zapier",
-]
-
-# Reference jobs (title, company, category, difficulty). Their texts are the caller's.
-BENCHMARK_JOBS = [
-    ("Software Engineer Intern", "Google", "FAANG", 10),
-    ("Backend Engineer - New Grad", "Stripe", "UNICORN", 9),
-    ("Systems Engineer Intern", "Cloudflare", "UNICORN", 9),
-    ("Machine Learning Engineer Intern", "Meta", "FAANG", 10),
-    ("Distributed Systems Engineer - New Grad", "Databricks", "UNICORN", 8),
-]
-
-# Sample jobs (source, key, url, title, company, location, days since posting).
-SAMPLE_JOBS = [
-    ("github", "gh-001", "https://github.com/jobs/sample1", "Senior Software Engineer", "TechCorp Solutions", "Remote", 1),
-    ("greenhouse", "gh-002", "https://boards.greenhouse.io/techcorp/jobs/12345", "Frontend Developer", "StartupXYZ", "San Francisco, CA", 2),
-    ("workday", "wd-003", "https://workday.com/jobs/datacorp/67890", "Data Scientist", "DataCo Analytics", "New York, NY", 3),
-    ("github", "gh-004", "https://github.com/jobs/sample4", "Full Stack Developer", "WebDev Inc", "Remote", 4),
-    ("greenhouse", "gh-005", "https://boards.greenhouse.io/fintech/jobs/54321", "DevOps Engineer", "FinTech Solutions", "Chicago, IL", 5),
-    ("workday", "wd-006", "https://workday.com/jobs/remotefirst/11111", "Product Manager", "RemoteFirst Tech", "Remote", 6),
-    ("github", "gh-007", "https://github.com/jobs/sample7", "Backend Engineer", "API Masters", "Austin, TX", 7),
-    ("greenhouse", "gh-008", "https://boards.greenhouse.io/mobileapp/jobs/98765", "Mobile Developer", "AppWorks", "Seattle, WA", 7),
-    ("workday", "wd-009", "https://workday.com/jobs/aiml/22222", "Machine Learning Engineer", "AI Innovations", "Boston, MA", 14),
-    ("github", "gh-010", "https://github.com/jobs/sample10", "Security Engineer", "CyberGuard", "Remote", 14),
-]
-
-
-def board_token(company: str) -> str:
-    return BOARD_TOKENS.get(company, company.lower().replace(" ", ""))
-
-
-def source_catalogue(spark: SparkSession) -> DataFrame:
-    """``company, source, token``, each once."""
-    rows = [(name, "greenhouse", board_token(name)) for name in BOARD_COMPANIES]
-    rows += [(name, "lever", board_token(name)) for name in POSTING_COMPANIES]
-    return spark.createDataFrame(rows, "company string, source string, token string").dropDuplicates()
-
-
-def benchmark_jobs(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """The reference jobs; ``texts`` gives their descriptions by company."""
-    rows = [(*row, (texts or {}).get(row[1], "")) for row in BENCHMARK_JOBS]
-    return spark.createDataFrame(
-        rows, "title string, company string, category string, difficulty_level int, description string"
-    )
-
 
 def hardest_first(benchmarks: DataFrame) -> DataFrame:
-    return benchmarks.orderBy(F.col("difficulty_level").desc(), "company")
-
-
-def sample_jobs(spark: SparkSession, as_of: Column) -> DataFrame:
-    """Sample jobs, all active, posted some days before ``as_of``."""
-    rows = spark.createDataFrame(
-        SAMPLE_JOBS,
-        "source string, source_job_id string, source_url string, title string, company string, location string, days int",
-    )
-    return rows.select(
-        *[c for c in rows.columns if c != "days"],
-        F.lit("full-time").alias("employment_type"),
-        F.lit("ACTIVE").alias("status"),
-        (as_of - F.make_interval(days=F.col("days"))).alias("posted_at"),
-        as_of.alias("scraped_at"),
-    )
+    """Reference jobs, hardest first; ties by company, then title."""
+    return benchmarks.orderBy(F.col("difficulty_level").desc(), "company", "title")
 
 
 def load_if_empty(rows: DataFrame, path: str) -> bool:

@@ -59,10 +59,22 @@ def test_slices_follow_the_order(scores):
     assert [r.slice for r in ordered] == sorted(r.slice for r in ordered)
 
 
-@pytest.mark.parametrize("operator", [snapshot_percentile, leaderboard])
-def test_salting_changes_nothing(scores, operator):
-    plain = sorted(map(tuple, operator(scores).collect()))
-    assert sorted(map(tuple, operator(scores, parts=64, floor=5).collect())) == plain
+def test_default_arguments_cut_the_heavy_job(scores):
+    sliced = skew.with_order_slices(scores, "job_id", ["scored_at", "application_id"])
+    assert sliced.where("job_id = 1").select("slice").distinct().count() >= 2
+
+
+def test_counts_give_positions_and_shares(scores):
+    rows = scores.collect()
+    pools = {}
+    for row in rows:
+        pools.setdefault(row.job_id, []).append(row.match_score)
+    shares = {r.application_id: r.cume_dist for r in snapshot_percentile(scores).collect()}
+    places = {r.application_id: r.position for r in leaderboard(scores).collect()}
+    for row in rows:
+        pool = pools[row.job_id]
+        assert shares[row.application_id] == sum(s <= row.match_score for s in pool) / len(pool)
+        assert places[row.application_id] == 1 + sum(s > row.match_score for s in pool)
 
 
 def test_salted_left_join_keeps_unmatched_rows(spark, scores):
@@ -82,8 +94,6 @@ def test_position_in_counts_smaller_bounds(spark):
     assert spark.range(1).select(skew.position_in(empty, F.lit(3))).first()[0] == 0
 
 
-def test_small_inputs_are_left_alone_and_unknown_sizes_are_not(spark, sf_dir):
-    small = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    assert not skew.worth_splitting(small, None)
-    assert skew.worth_splitting(small, 10)
-    assert skew.worth_splitting(spark.createDataFrame(small.limit(3).rdd, small.schema), None)
+def test_too_many_parts_are_refused(scores):
+    with pytest.raises(ValueError, match="at most"):
+        skew.checked_parts(scores, skew.MOST_PARTS + 1)
