@@ -3,9 +3,9 @@
 A text is cut where the tokenizer's own pre-splitting must cut in any case, whatever stands around:
 before a single space that is followed by something else than white space, between a letter or digit
 and ASCII punctuation, and behind a lone line break. The ids of the text are then those of the pieces,
-one after the other. Words between spaces are looked up first; one not known yet is cut further, and
-each piece is encoded once while it is remembered. ``CACHE`` bounds how many words and pieces a worker
-remembers; others are encoded each time. Tests hold the ids against those of whole texts.
+one after the other. Words between spaces are encoded once for a slice of texts; those found twice in it are
+remembered. ``CACHE`` bounds how many words a worker remembers; others are encoded each time. Tests hold
+the ids against those of whole texts.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 0
-CACHE = 200_000
-LONGEST = 48  # characters of what is remembered
+CACHE = 150_000
+LONGEST = 64  # characters of what is remembered and not cut further
 CUTS = re.compile(r"""(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])|(?<=\S\n)(?=\S)""")
-BARE_SPACE = re.compile(r" (?=\s|$)")  # a space that belongs to no word
+BARE_SPACE = r" [\s\p{Z}\x{85}\x0B\x1C-\x1F]| $"  # perhaps a space that belongs to no word
 
 
 class Encoder:
@@ -34,50 +35,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.words: dict[str, bytes] = {}  # ids of the word and the space before it
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _pieces(self, cut: list[list[str]]) -> list[bytes]:
-        """Ids of strings that are given in pieces."""
-        known, new = self.pieces, {}
-        missing = list({piece for pieces in cut for piece in pieces if piece not in known})
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                new[piece] = np.array(x.ids, "<u4").tobytes()
-        for piece, ids in new.items():
-            if len(known) < CACHE and len(piece) <= LONGEST:
-                known[piece] = ids
-        return [b"".join([known[p] if p in known else new[p] for p in pieces]) for pieces in cut]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it; no word is given twice."""
+
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        """Ids of each string; a long one is cut first, as the tokenizer holds much for each id of a string."""
+        cut = [CUTS.split(x) if len(x) > LONGEST else (x,) for x in strings]
+        pieces = list(chain.from_iterable(cut))
+        sizes, flat = [], []
+        for at in range(0, len(pieces), 2048):
+            found = self.tokenizer.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False)
+            ids = [x.ids for x in found]
+            sizes += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u4").tobytes())
+        ends = 4 * np.append(0, np.cumsum(sizes, dtype=np.int64))[np.cumsum([0, *map(len, cut)])]
+        joined = b"".join(flat)
+        return [joined[start:end] for start, end in pairwise(ends.tolist())]
+
+    def _words(self, words: list[str], often: np.ndarray) -> list[bytes]:
+        """Ids of each word with a space before it; those found ``often`` are remembered. No word is given twice."""
         known = self.words
         found = [known.get(word) for word in words]
         gaps = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(gaps, self._pieces([CUTS.split(" " + words[k]) for k in gaps]), strict=True):
+        for k, ids in zip(gaps, self._strings([" " + words[k] for k in gaps]), strict=True):
             found[k] = ids
-            if len(known) < CACHE and len(words[k]) <= LONGEST:
+            if often[k] and len(known) < CACHE and len(words[k]) <= LONGEST:
                 known[words[k]] = ids
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order (unsigned 32-bit), and where each text's ids start; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        # A text with a bare space is cut as a whole, any other at its spaces.
-        bare = [k for k, text in enumerate(texts.to_pylist()) if BARE_SPACE.search(text)]
-        own = {k: CUTS.split(texts[k].as_py()) for k in bare}
-        if bare:
-            mask = np.zeros(len(texts), bool)
-            mask[bare] = True
-            texts = pc.if_else(pa.array(mask), "", texts)
+        # A text with a bare space is cut at its other spaces only.
+        bare = pc.match_substring_regex(texts, BARE_SPACE).to_numpy(zero_copy_only=False)
+        own = {int(k): texts[k].as_py() for k in np.flatnonzero(bare)}
+        if own:
+            texts = pc.if_else(pa.array(bare), "", texts)
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         words = split.flatten().dictionary_encode()
-        unique, codes = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
-        heads = [CUTS.split(unique[codes[k]]) for k in at]
-        heads = [own.get(k, pieces) for k, pieces in enumerate(heads)]
-        codes[at] = len(unique) + np.arange(len(at))  # the first word has no space before it
-        each = [*self._words(unique), *self._pieces(heads)]
+        codes = words.indices.to_numpy().astype(np.int64)
+        words = words.dictionary.to_pylist()
+        heads = [own[k] if k in own else words[code] for k, code in enumerate(codes[at])]
+        codes[at] = len(words)  # the first word has no space before it
+        often = np.bincount(codes, minlength=len(words) + 1) > 1
+        codes[at] += np.arange(len(at))
+        each = [*self._words(words, often), *self._strings(heads)]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
         lengths = size[codes]
@@ -92,7 +93,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def parts_of(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most

@@ -4,16 +4,20 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import pairwise
 from math import log10
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import differences
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hirespan.llm import neardup, pii, quality
+from hirespan.llm import neardup, pii, quality, tokens
 from hirespan.llm.oracles import ORACLES
 from hirespan.llm.queries import QUERIES, TOKENIZER
 
@@ -159,6 +163,16 @@ def test_token_files_give_back_all_ids(spark, folder, ids):
     assert len(rows) == len(ids)
 
 
+@given(st.lists(st.text(st.sampled_from(list(" \t\n\u00a0\u2003\x1f\x85ab1'é漢.,-_|<>")) | st.characters(codec="utf-8"), max_size=150), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_pieces_are_those_of_whole_texts(texts):
+    path = str(public_tokenizers.path(TOKENIZER))
+    tokenizer = Tokenizer.from_file(path)
+    found, starts = tokens.encoder(path).encode(pa.array([*texts, None], pa.string()))
+    whole = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [found[a:b].tolist() for a, b in pairwise(starts)] == [*whole, []]
+
+
 def test_context_tree_counts_and_gain(spark, folder):
     words = {i: [*(w.lower() if w.isascii() else w for w in WORD.findall(t or "")), None] for i, t in DOCUMENTS}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
