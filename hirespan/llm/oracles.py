@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hirespan.llm.centroids import CENTROIDS, ROUNDS, SCALE, SEED, SIZE
 from hirespan.llm.quality import MIN_WORDS, MOST_REPEATED, RULES, STOP_WORDS
 
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,80 @@ select w.doc_id, coalesce(n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(
        w.doc_id = least(w.doc_id, coalesce(low, w.doc_id)) as kept
 from w left join n using (doc_id) left join m using (doc_id)
 """
+
+
+def _rounds() -> str:
+    """Assignment a0 to centroids c0, their means c1, and so on."""
+    parts = []
+    for k in range(ROUNDS + 1):
+        parts.append(f"""
+d{k} as (select v.row, v.vec_id, v.v, c.cluster, c.c, list_sum(list_transform(range(1, {SIZE} + 1), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::bigint as distance
+        from vectors v cross join c{k} c),
+a{k} as (select row, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(cluster, distance * 64 + cluster) as cluster, min(distance) as distance from d{k} group by row),
+s{k} as (select cluster, i, sum(v[i])::bigint as s, count(*)::bigint as n from a{k}, (select unnest(range(1, {SIZE} + 1)) as i) group by cluster, i),
+m{k} as (select cluster, list((s - ((s % n) + n) % n) // n order by i) as c from s{k} group by cluster),
+c{k + 1} as (select c.cluster, coalesce(m.c, c.c) as c from c{k} c left join m{k} m using (cluster))""")
+    return ",".join(parts)
+
+
+ORACLES["op12_centroid_clusters"] = f"""
+with whole as (select vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as v from embeddings
+    where len(embedding) = {SIZE} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {SIZE}),
+vectors as (select row_number() over () as row, * from whole),
+c0 as (select (row_number() over (order by sha256('{SEED}:' || vec_id), v) - 1)::int as cluster, v as c from vectors
+       where vec_id is not null qualify cluster < {CENTROIDS}),
+{_rounds()},
+t as (select cluster, sum(distance)::bigint as cluster_inertia from a{ROUNDS} group by cluster)
+select vec_id, cluster, distance, cluster_inertia, (select sum(cluster_inertia) from t)::bigint as inertia,
+       sha256(array_to_string(c, ',')) as centroid_sha256
+from a{ROUNDS} join t using (cluster) join c{ROUNDS} using (cluster)
+"""
+
+
+def _f(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+_RECORD = " || ".join(_f(c) for c in ["doc_id", "source", "lang", "n_chars", "text"])
+# A byte is taken in by one step and eight shifts.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''),
+    lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end))"""
+
+
+def _tree(prefix: str, leaves: str) -> str:
+    """Nodes of the trees over ``leaves`` (tree, lo, digest), and the path of each leaf as the list of its siblings."""
+    return f"""
+{prefix}_size as (select tree, count(*) as n from {leaves} group by tree),
+{prefix}_node(tree, level, lo, digest, n) as (
+    select tree, 0, lo, digest, n from {leaves} join {prefix}_size using (tree)
+    union all
+    select tree, any_value(level) + 1, lo // 2, sha256(string_agg(digest, '' order by lo)), (any_value(n) + 1) // 2
+    from {prefix}_node where n > 1 group by tree, lo // 2),
+{prefix}_path(tree, leaf, level, lo, sides) as (
+    select tree, lo, 0, lo, []::varchar[] from {leaves}
+    union all
+    select p.tree, leaf, p.level + 1, p.lo // 2,
+           list_append(sides, coalesce(case when s.lo < p.lo then 'L' else 'R' end || s.digest, ''))
+    from {prefix}_path p join {prefix}_node o on o.tree = p.tree and o.level = p.level and o.lo = p.lo and o.n > 1
+         left join {prefix}_node s on s.tree = p.tree and s.level = p.level and s.lo = xor(p.lo, 1)),
+{prefix}_top as (select tree, digest from {prefix}_node where n = 1),
+{prefix}_end as (select tree, leaf, arg_max(sides, level) as sides from {prefix}_path group by tree, leaf)"""
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+with recursive r as (
+    select doc_id, coalesce('=' || lang, '') as tree, sha256({_RECORD}) as digest,
+           case when {_CRC} % 7 = 0 then sha256({_RECORD.replace("n_chars", "(n_chars::hugeint + 1)")}) end as tampered from documents),
+leaf as (select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as lo from r),
+{_tree("a", "leaf")},
+sub as (select '' as tree, row_number() over (order by encode(tree)) - 1 as lo, digest, tree as name from a_top),
+{_tree("b", "sub")},
+whole as (select l.doc_id, l.digest as leaf, s.digest as subroot, t.digest as root, list_concat(e.sides, u.sides) as sides, l.tampered
+          from leaf l join a_end e on e.tree = l.tree and e.leaf = l.lo join sub s on s.name = l.tree
+               join b_end u on u.leaf = s.lo cross join b_top t),
+f as (select *, list_reduce(list_prepend(coalesce(tampered, leaf), sides), lambda x, s: sha256(case
+          when starts_with(s, 'L') then s[2:] || x when starts_with(s, 'R') then x || s[2:] else x end)) as folded_root from whole)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s[2:]), '')) as proof_sha256,
+       folded_root, folded_root = root as verified from f
+"""

@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirespan.llm import chat, compression, ctw, decontaminate, neardup, packing, pii, quality, tokenfile, urlfilter
+from hirespan.llm import (
+    centroids,
+    chat,
+    compression,
+    ctw,
+    decontaminate,
+    merkle,
+    neardup,
+    packing,
+    pii,
+    quality,
+    tokenfile,
+    urlfilter,
+)
 from hirespan.llm.tables import Query, remainder, table, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,3 +112,26 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder() == 1, F.lit(False))
     return ctw.scored(docs, ~held_out).select("doc_id", held_out.alias("held_out"), *ctw.RESULTS)
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n_chars, fields = F.col("n_chars"), ["doc_id", "source", "lang", "n_chars", "text"]
+    more = n_chars.cast("decimal(20,0)") + 1
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    records = docs.select(
+        "doc_id",
+        "lang",
+        merkle.record(*[F.col(c) for c in fields]).alias("leaf"),
+        F.when(tampered, merkle.record(*[more if c == "n_chars" else F.col(c) for c in fields])).alias("tampered"),
+    )
+    found = merkle.manifest(records, tree="lang", order=["doc_id"], leaf="leaf")
+    fold = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", fold.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
