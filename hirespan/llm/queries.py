@@ -17,6 +17,7 @@ from hirespan.llm import (
     packing,
     pii,
     quality,
+    styletree,
     tokenfile,
     urlfilter,
 )
@@ -114,6 +115,11 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(docs, ~held_out).select("doc_id", held_out.alias("held_out"), *ctw.RESULTS)
 
 
+@query
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extracted(table(spark, sf_dir, "pages"))
+
+
 @query
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
