@@ -1,19 +1,23 @@
 """Near duplicates by minwise signatures and a Hamming join over several indexes.
 
 A text's signature has ``CHUNKS`` chunks of ``SYMBOLS`` 16-bit symbols, each from one minwise hash of its
-shingles. If two signatures differ in at most ``2 * CHUNKS - 1`` symbols, some chunk differs in one at
-most; so each chunk is entered once for each symbol left out, and any such pair shares an entry. (Of
-pairs at the similarity 0.8 itself, one in a million shares none.) Links are confirmed on full sets.
+shingles. The signature distance up to which every pair is sure to be found is ``2 * CHUNKS - 1`` = 31 of 112
+symbols: some chunk then differs in one symbol at most, so with each chunk entered once for each symbol left
+out the pair shares an entry. Pairs found beyond that distance count as well, up to ``FARTHEST``, a filter
+that spares reading sets. Links are confirmed on full sets; of pairs at the similarity 0.8 itself, one in a
+million shares no entry.
 
 Texts with equal sets form a class by a digest of the set, summed up before any shuffle; all else works
-on classes. Within an entry every class is first held against the entry's smallest one, which joins a
-group of near copies without all its pairs. What is then still in different components of one entry is
-held against each other in blocks, so no link between components is lost.
+on classes. In each of ``ROUNDS`` rounds a class is held against one other: of the first classes of its entries
+that are still in other components, the one it shares most entries with. So a group of near copies becomes
+one component with a pair or two a class. The classes of entries that then still have several components are held against each other
+entry by entry, in blocks bounded by bytes and by members, so no link between components is lost.
 
 Defined results: a text without words has an empty set, is its own component and linked with nothing;
 one with fewer words than a shingle has all of them as its one shingle. Repeated rows belong to one
-class and each give a row. A null id gives a row that is never kept. An empty table gives an empty one.
-Columns other than id and text are not looked at.
+class and each give a row; rows of one id with different texts are in classes of their own, each with a row.
+A null id gives a row that is never kept, and a text found under null ids only links nothing. An empty
+table gives an empty one. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.llm import tokens, words
-from hirespan.llm.components import components
+from hirespan.llm.components import components, merged
 from hirespan.llm.tables import small_batches, written
 
 CHUNKS, SYMBOLS = 16, 7
@@ -35,7 +39,8 @@ WIDTH = 2
 SHARE = 80  # per cent of the union that the intersection must reach
 # At the least similarity linked, 22 of 112 symbols differ on average; more than 46 do in one pair of ten million.
 FARTHEST = 46
-BLOCK = 8 << 20
+ROUNDS = 2
+BLOCK, MEMBERS = 8 << 20, 1000  # bytes and sets held against each other at once
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PLACES = np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64)
 _A = words.mixed(_PLACES).astype(np.uint32) | np.uint32(1)
@@ -120,11 +125,22 @@ def close(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
-    """Pairs that are linked by their full sets, which are worked out for their members only."""
-    members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(_per_text(texts, "doc_id long, shingles binary", width, lambda s: (s.tobytes(),)), "sets")
+def sets_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, shingles): the full sets of ``classes`` (rep, low, digest), worked out from one document of each.
+
+    Rows of one id may have different texts; the digest says which of them is meant.
+    """
+    texts = docs.join(classes.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def row(s: np.ndarray) -> tuple:
+        return xxhash.xxh3_128_digest(s.tobytes()), s.tobytes()
+
+    sets = _per_text(texts, "low long, digest binary, shingles binary", width, row, "low")
+    return classes.join(sets, ["low", "digest"]).select("rep", "shingles").dropDuplicates(["rep"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs that are linked by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,19 +154,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, share: int) -> Data
                 linked.append(100 * shared >= share * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    both = _both(pairs, sets.withColumnRenamed("doc_id", "rep"), ["shingles"])
+    both = _both(pairs, sets, ["shingles"])
     return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
-def _crossing(sets: list[np.ndarray], sigs: np.ndarray, places: np.ndarray, pairs: np.ndarray, share: int) -> list[tuple[int, int]]:
+def _crossing(sets: list[np.ndarray], sigs: np.ndarray, places: np.ndarray, split: int, share: int) -> list[tuple[int, int]]:
     """Links found between members of different places, row by row; a link makes two places one from then on.
 
-    ``pairs`` says for each member which others it is held against (a matrix, upper half).
+    The first ``split`` members are held against the others; with no split, all against each other.
     """
     sizes = np.array([len(s) for s in sets])
     places, found = places.copy(), []
-    for k in range(len(sets) - 1):
-        others = k + 1 + np.flatnonzero(pairs[k, k + 1 :] & (places[k + 1 :] != places[k]))
+    for k in range(split or len(sets) - 1):
+        others = max(split, k + 1) + np.flatnonzero(places[max(split, k + 1) :] != places[k])
         least, most = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
         others = others[100 * least >= share * most]
         others = others[(sigs[others] != sigs[k]).sum(1) <= FARTHEST]
@@ -167,37 +183,40 @@ def _crossing(sets: list[np.ndarray], sigs: np.ndarray, places: np.ndarray, pair
     return found
 
 
-def linked_within(rest: DataFrame, docs: DataFrame, width: int, share: int) -> DataFrame:
+def linked_within(rest: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links (a, b) between members of one entry that are in different components.
 
-    ``rest`` has (first, rep, component): the smallest member of an entry, and each member. Members that
-    entries connect form a cluster. A cluster's sets are dealt into blocks of about ``BLOCK`` bytes and
-    each two blocks meet in one group, so a group is bounded and no rows are made of pairs.
+    ``rest`` has (first, rep, component): the smallest member of an entry, and each member; entries with one
+    smallest member are one group. A group's sets are dealt into blocks of about ``BLOCK`` bytes and
+    ``MEMBERS`` members, and each two blocks meet in one task, so what a task holds is bounded and no rows are
+    made of pairs. ``sets`` has (rep, shingles, sig).
     """
-    clusters = components(rest.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    members = rest.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep")
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = _per_text(
-        texts, "rep long, shingles binary, sig binary", width, lambda s: (s.tobytes(), signature(s)), "rep"
+    sized = rest.join(sets.select("rep", F.octet_length("shingles").alias("bytes")), "rep")
+    blocks = sized.groupBy("first").agg(
+        F.greatest(F.ceil(F.sum("bytes") / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("blocks")
     )
-    members = written(members.join(sets, "rep"), "sets")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = rest.join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = dealt.join(sets, "rep")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rep")
+        group = group.sort_by([("block", "ascending"), ("rep", "ascending")])
         reps, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(reps), -1)
-        one = group.column("low")[0] == group.column("high")[0]
-        pairs = np.ones((len(reps), len(reps)), bool) if one else block[:, None] != block
-        found = _crossing(sets, sigs, group.column("component").to_numpy(), pairs, share)
+        split = int(np.searchsorted(block, block[0], "right")) if block[0] != block[-1] else 0
+        found = _crossing(sets, sigs, group.column("component").to_numpy(), split, share)
         return pa.table({"a": reps[[i for i, _ in found]], "b": reps[[j for _, j in found]]}, LINKS)
 
-    columns = ["cluster", "low", "high", "rep", "component", "block", "shingles", "sig"]
-    return dealt.select(columns).groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+    columns = ["first", "low", "high", "rep", "component", "block", "shingles", "sig"]
+    return dealt.select(columns).groupBy("first", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the component that each ``rep`` is in."""
+    found = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return found.withColumn("component", F.coalesce("component", "rep"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -205,31 +224,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     found = written(described(docs, width), "sets")
     classes = found.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
-    classes = written(classes.where("rep is not null"), "classes")
+    # Classes are numbered, as one id may stand over several texts; the table is written, so numbers stay.
+    classes = classes.where("low is not null").withColumn("rep", F.monotonically_increasing_id())
+    classes = written(classes, "classes")
     keys = entered(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     members = written(keys.join(shared.select("key", "first"), "key"), "members")
-
-    pairs = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(written(close(pairs, classes, share), "pairs"), docs, width, share), "links")
-    labels = components(links)
+    several = classes.join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = written(sets_of(several.select("rep", "low", "digest"), docs, width), "sets")
+
+    # What is open: classes whose entry's first class is in another component and was not met yet.
+    waiting = members.where("rep <> first").groupBy("first", "rep").agg(F.count("*").alias("shared"))
+    labels = None
+    for _ in range(ROUNDS):
+        likeliest = F.max_by("first", F.struct("shared", -F.col("first")))
+        pairs = waiting.groupBy(F.col("rep").alias("b")).agg(likeliest.alias("a"))
+        pairs = written(pairs.select("a", "b"), "pairs")
+        links = confirmed(written(close(pairs, classes, share), "pairs"), sets, share)
+        labels = written(components(links), "labels") if labels is None else merged(labels, written(links, "links"))
+        waiting = waiting.join(pairs.select(F.col("a").alias("first"), F.col("b").alias("rep")), ["first", "rep"], "left_anti")
+        waiting = _placed(waiting, labels).withColumnRenamed("component", "place")
+        firsts = _placed(waiting.select(F.col("first").alias("rep")).distinct(), labels)
+        waiting = waiting.join(firsts.select(F.col("rep").alias("first"), "component"), "first")
+        waiting = written(waiting.where("place <> component").select("first", "rep", "shared"), "waiting")
 
     # Entries whose members are still in different components hold pairs not yet held against each other.
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = placed.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("first")
-    )
-    rest = written(placed.join(mixed.where("low < high").select("key", "first"), "key").select("first", "rep", "component").distinct(), "rest")
-    later = written(linked_within(rest, docs, width, share), "links")
-    if later.limit(1).count():
-        labels = components(links.union(later))
-
-    where = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    where = where.select("digest", F.coalesce("component", "rep").alias("component_id"))
+    placed = _placed(members.select("key", "first", "rep"), labels)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    rest = placed.join(mixed.where("least < most").select("key"), "key", "left_semi")
+    rest = written(rest.select("first", "rep", "component").distinct(), "rest")
+    later = linked_within(rest, sets.join(classes.select("rep", "sig"), "rep"), share)
+    labels = merged(labels, written(later, "links"))
+
+    where = _placed(classes.select("digest", "rep", "low"), labels)
+    lowest = where.groupBy("component").agg(F.min("low").alias("component_id"))
+    where = written(where.join(lowest, "component").select("digest", "component_id"), "components")
     out = found.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(where, "digest", "left")
     # An empty set has a digest but no class.
     component = F.coalesce("component_id", "doc_id")
