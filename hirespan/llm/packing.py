@@ -161,7 +161,7 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         sizes: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for some in tokens.parts_of(batch, "text"):
+            for some in tokens.parts_of(batch, "text", tokens.SLICE):
                 ids, starts = tokens.with_end(*encode(some.column("text")))
                 doc_ids += some.column("doc_id").to_pylist()
                 parts.append(ids)

@@ -102,7 +102,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         writer = None
         for batch in batches:
-            for some in tokens.parts_of(batch, "text"):
+            for some in tokens.parts_of(batch, "text", tokens.SLICE):
                 writer = writer or Writer(f"{folder}/files", name, coder.tokenizer.get_vocab_size())
                 first = writer.total
                 ids, starts = tokens.with_end(*coder.encode(some.column("text")))

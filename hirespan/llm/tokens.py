@@ -1,15 +1,21 @@
-"""Token ids of whole texts by a given tokenizer, with the ids of short pieces remembered.
+"""Token ids of whole texts by a given tokenizer, each distinct word of a slice of texts encoded once.
 
 A text is cut where the tokenizer's own pre-splitting must cut in any case, whatever stands around:
 before a single space that is followed by something else than white space, between a letter or digit
 and ASCII punctuation, and behind a lone line break. The ids of the text are then those of the pieces,
-one after the other. Words between spaces are encoded once for a slice of texts; those found twice in it are
-remembered. ``CACHE`` bounds how many words a worker remembers; others are encoded each time. Tests hold
-the ids against those of whole texts.
+one after the other. Words between spaces are gathered from a slice of texts, and the distinct ones are handed
+to the tokenizer many at a time, as one string with a space before each: a word's ids start where a token
+starts with that space, as no word holds another. Nothing is remembered from slice to slice.
+
+Special strings of the tokenizer are cut out first and give their own ids, as the tokenizer itself does; with
+``ordinary`` they are text like any other. Tests hold the ids against those of whole texts.
+
+Defined results: a null or empty text has no ids; equal texts have equal ids; no texts give no ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,70 +27,111 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 0
-CACHE = 150_000
-LONGEST = 64  # characters of what is remembered and not cut further
+LONGEST = 64  # characters of a word that is encoded together with others
+TOGETHER = 512  # words in a string
+SLICE = 8_000_000  # bytes of texts whose distinct words are encoded once
 CUTS = re.compile(r"""(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])|(?<=\S\n)(?=\S)""")
 BARE_SPACE = r" [\s\p{Z}\x{85}\x0B\x1C-\x1F]| $"  # perhaps a space that belongs to no word
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
-        self.words: dict[str, bytes] = {}  # ids of the word and the space before it
-
-    def _strings(self, strings: list[str]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = ordinary
+        # A token that starts with the byte of a space starts with this letter.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        with open(path, encoding="utf-8") as file:
+            added = {} if ordinary else {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+        self.special = {x: np.array([i], "<u4").tobytes() for x, i in added.items()}
+        longest_first = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+        self.specials = re.compile(f"({longest_first})") if added else None
+
+    def _ids(self, strings: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _plain(self, strings: list[str]) -> list[bytes]:
         """Ids of each string; a long one is cut first, as the tokenizer holds much for each id of a string."""
         cut = [CUTS.split(x) if len(x) > LONGEST else (x,) for x in strings]
         pieces = list(chain.from_iterable(cut))
         sizes, flat = [], []
         for at in range(0, len(pieces), 2048):
-            found = self.tokenizer.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False)
-            ids = [x.ids for x in found]
+            ids = self._ids(pieces[at : at + 2048])
             sizes += map(len, ids)
             flat.append(np.fromiter(chain.from_iterable(ids), "<u4").tobytes())
         ends = 4 * np.append(0, np.cumsum(sizes, dtype=np.int64))[np.cumsum([0, *map(len, cut)])]
         joined = b"".join(flat)
         return [joined[start:end] for start, end in pairwise(ends.tolist())]
 
-    def _words(self, words: list[str], often: np.ndarray) -> list[bytes]:
-        """Ids of each word with a space before it; those found ``often`` are remembered. No word is given twice."""
-        known = self.words
-        found = [known.get(word) for word in words]
-        gaps = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(gaps, self._strings([" " + words[k] for k in gaps]), strict=True):
-            found[k] = ids
-            if often[k] and len(known) < CACHE and len(words[k]) <= LONGEST:
-                known[words[k]] = ids
-        return found
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        """Ids of each string by itself, special strings included."""
+        if not self.specials or not any(self.specials.search(x) for x in strings):
+            return self._plain(strings)
+        parts = [self.specials.split(x) for x in strings]
+        ordinary = iter(self._plain([x for part in parts for x in part[::2]]))
+        return [b"".join(next(ordinary) if k % 2 == 0 else self.special[x] for k, x in enumerate(part)) for part in parts]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words``, each with a space before it, and how many each has."""
+        short = [k for k, word in enumerate(words) if len(word) <= LONGEST]
+        flat, sizes = [], []
+        for at in range(0, len(short), 64 * TOGETHER):
+            some = [words[k] for k in short[at : at + 64 * TOGETHER]]
+            strings = [" " + " ".join(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
+            ids = np.fromiter(chain.from_iterable(self._ids(strings)), "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some) or starts[0]:
+                raise RuntimeError("the tokenizer did not cut at single spaces")
+            flat.append(ids)
+            sizes.append(np.diff(starts, append=len(ids)))
+        lengths = np.zeros(len(words), np.int64)
+        lengths[short] = np.concatenate(sizes) if sizes else 0
+        if len(short) == len(words):
+            return (np.concatenate(flat) if flat else np.empty(0, "<u4")), lengths
+        long = [k for k, word in enumerate(words) if len(word) > LONGEST]
+        found = self._plain([" " + words[k] for k in long])
+        lengths[long] = [len(x) // 4 for x in found]
+        ends = np.cumsum(lengths)
+        out = np.empty(ends[-1], "<u4")
+        of_long = np.zeros(len(words), bool)
+        of_long[long] = True
+        of_long = np.repeat(of_long, lengths)
+        out[of_long] = np.frombuffer(b"".join(found), "<u4")
+        out[~of_long] = np.concatenate(flat) if flat else np.empty(0, "<u4")
+        return out, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order (unsigned 32-bit), and where each text's ids start; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        # A text with a bare space is cut at its other spaces only.
-        bare = pc.match_substring_regex(texts, BARE_SPACE).to_numpy(zero_copy_only=False)
-        own = {int(k): texts[k].as_py() for k in np.flatnonzero(bare)}
+        # A text with a bare space or a special string is taken by itself.
+        alone = pc.match_substring_regex(texts, BARE_SPACE)
+        for special in self.special:
+            alone = pc.or_(alone, pc.match_substring(texts, special))
+        own = {int(k): texts[k].as_py() for k in np.flatnonzero(alone.to_numpy(zero_copy_only=False))}
         if own:
-            texts = pc.if_else(pa.array(bare), "", texts)
+            texts = pc.if_else(alone, "", texts)
         split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
-        words = split.flatten().dictionary_encode()
-        codes = words.indices.to_numpy().astype(np.int64)
-        words = words.dictionary.to_pylist()
-        heads = [own[k] if k in own else words[code] for k, code in enumerate(codes[at])]
-        codes[at] = len(words)  # the first word has no space before it
-        often = np.bincount(codes, minlength=len(words) + 1) > 1
-        codes[at] += np.arange(len(at))
-        each = [*self._words(words, often), *self._strings(heads)]
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat = np.frombuffer(b"".join(each), "<u4")
+        encoded = split.flatten().dictionary_encode()
+        codes = encoded.indices.to_numpy().astype(np.int64)
+        words = encoded.dictionary.to_pylist()
+        heads = [own[k] if k in own else words[code] for k, code in enumerate(codes[at].tolist())]
+        codes[at] = len(words) + np.arange(len(at))  # the first word has no space before it
+        wanted = np.bincount(codes, minlength=len(words))[: len(words)] > 0
+        flat, lengths = self._words([word for word, needed in zip(words, wanted.tolist(), strict=True) if needed])
+        first = self._strings(heads)
+        size = np.zeros(len(words) + len(at), np.int64)
+        size[: len(words)][wanted] = lengths
+        size[len(words) :] = [len(x) // 4 for x in first]
+        flat = np.concatenate([flat, np.frombuffer(b"".join(first), "<u4")])
         lengths = size[codes]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat((np.cumsum(size) - size)[codes] - (ends - lengths), lengths) + np.arange(lengths.sum())]
-        return ids, np.append((ends - lengths)[at], len(ids)) if len(at) else np.zeros(1, np.int64)
+        place = np.repeat((np.cumsum(size) - size)[codes] - (ends - lengths), lengths)
+        place += np.arange(len(place))
+        return flat[place], np.append((ends - lengths)[at], len(place)) if len(at) else np.zeros(1, np.int64)
 
 
 @lru_cache(maxsize=2)

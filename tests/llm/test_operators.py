@@ -163,7 +163,11 @@ def test_token_files_give_back_all_ids(spark, folder, ids):
     assert len(rows) == len(ids)
 
 
-@given(st.lists(st.text(st.sampled_from(list(" \t\n\u00a0\u2003\x1f\x85ab1'é漢.,-_|<>")) | st.characters(codec="utf-8"), max_size=150), max_size=8))
+SOME_TEXT = st.text(st.sampled_from(list(" \t\n\u00a0\u2003\x1f\x85ab1'é漢.,-_|<>")) | st.characters(codec="utf-8"), max_size=150)
+WITH_SPECIALS = st.lists(SOME_TEXT | st.sampled_from(["<|endoftext|>", "<|endoftext|", " <|endoftext|> a"]), max_size=4).map("".join)
+
+
+@given(st.lists(SOME_TEXT | WITH_SPECIALS, max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_ids_of_pieces_are_those_of_whole_texts(texts):
     path = str(public_tokenizers.path(TOKENIZER))
@@ -173,6 +177,16 @@ def test_ids_of_pieces_are_those_of_whole_texts(texts):
     assert [found[a:b].tolist() for a, b in pairwise(starts)] == [*whole, []]
 
 
+def test_special_strings_as_ordinary_text():
+    path = str(public_tokenizers.path(TOKENIZER))
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 200 + " <|endoftext|>" * 3]
+    found, starts = tokens.Encoder(path, ordinary=True).encode(pa.array(texts))
+    assert [found[a:b].tolist() for a, b in pairwise(starts)] == [tokenizer.encode(t).ids for t in texts]
+    assert tokens.Encoder(path).encode(pa.array(texts[1:2]))[0].tolist() == [50256]
+
+
 def test_context_tree_counts_and_gain(spark, folder):
     words = {i: [*(w.lower() if w.isascii() else w for w in WORD.findall(t or "")), None] for i, t in DOCUMENTS}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
