@@ -3,8 +3,8 @@
 Quality rules, near-duplicates, benchmark passages, personal data, packing. Each stage calls one operator
 of ``hirespan.llm``; its decisions take effect, and all but the last return the columns of documents.
 
-Defined results: null and empty texts fail the quality rules. Of rows with equal ids one stays behind the
-near-duplicate stage; rows without an id are held against each other by text only. An empty table gives
+Defined results: null and empty texts fail the quality rules. Of rows with equal ids the least stays behind
+the near-duplicate stage; rows without an id are held against each other by equal text only. An empty table gives
 no pieces. Columns beyond those of documents are carried on to the last stage, which does not look at them.
 """
 
@@ -30,8 +30,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id stays."""
     groups = neardup.near_duplicates(docs, width=SHINGLE_WORDS, share=SIMILAR)
     kept = docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.dropDuplicates(["doc_id"]).unionByName(unnamed).select(*docs.columns)
+    return _least(kept, "doc_id").unionByName(_least(docs.where("doc_id is null"), "text"))
+
+
+def _least(docs: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, by the columns in order; the same one in every run."""
+    rest = [c for c in docs.columns if c != key]
+    least = docs.groupBy(key).agg(F.min(F.struct(*rest)).alias("row"))
+    return least.select(*[F.col(c) if c == key else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
