@@ -112,11 +112,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Loader:
                 loaded[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return loaded[name]
 
-    def stream(name: str) -> DataFrame:
-        """The file of a supplied table as a stream."""
-        return spark.readStream.schema(load(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-    load.stream = stream
     load.spark = spark
     return load
 

@@ -1,7 +1,8 @@
 """Postings from the JSON of job boards.
 
 Input ``landing``: ``company, token, body`` with one response per row. Each parser gives
-``(postings, rejects)``; a response that cannot be read is rejected as a whole.
+``(postings, rejects)``; a response that cannot be read is rejected as a whole. If ``landing`` has
+``fetched_at``, postings carry it together with their ``position`` in the response.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirespan.functions.text import content_hash, is_internship, is_internship_posting, strip_tags
-from hirespan.sources.listings import JOB_FIELDS
+from hirespan.sources.listings import ARRIVAL, JOB_FIELDS, carried
 
 BOARD_SCHEMA = (
     "jobs array<struct<id bigint, title string, location struct<name string>, absolute_url string, "
@@ -52,8 +53,9 @@ def _day(text: Column) -> Column:
 def parse_board(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Boards of ``{jobs: [...]}``; internships only."""
     read, bad = _read(landing, BOARD_SCHEMA, "jobs")
-    jobs = read.select("company", "token", F.explode("_r").alias("j")).where(is_internship(F.col("j.title")))
+    jobs = read.select("company", "token", *carried(landing), F.posexplode("_r").alias("position", "j")).where(is_internship(F.col("j.title")))
     return jobs.select(
+        *carried(jobs),
         F.lit("greenhouse").alias("source"),
         F.concat(F.lit("gh-"), "token", F.lit("-"), F.col("j.id").cast("string")).alias("source_job_id"),
         F.col("j.absolute_url").alias("source_url"),
@@ -70,7 +72,7 @@ def parse_board(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_postings(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Arrays of postings; internships by title or commitment. Salary is added to the text."""
     read, bad = _read(landing, POSTINGS_SCHEMA, None)
-    jobs = read.select("company", "token", F.explode("_r").alias("j")).where(
+    jobs = read.select("company", "token", *carried(landing), F.posexplode("_r").alias("position", "j")).where(
         is_internship_posting(_text("j.text"), F.col("j.categories.commitment"))
     )
     extra = F.when(
@@ -85,6 +87,7 @@ def parse_postings(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
     ).otherwise("")
     return jobs.select(
+        *carried(jobs),
         F.lit("lever").alias("source"),
         F.concat(F.lit("lever-"), "token", F.lit("-"), "j.id").alias("source_job_id"),
         F.col("j.hostedUrl").alias("source_url"),
@@ -101,12 +104,13 @@ def parse_postings(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_list(landing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Search lists: first location only, no source key, a generated text."""
     read, bad = _read(landing, LIST_SCHEMA, "jobPostings")
-    jobs = read.select("company", F.explode("_r").alias("j"))
+    jobs = read.select("company", *carried(landing), F.posexplode("_r").alias("position", "j"))
     place = F.get("j.locations", F.lit(0))
     located = F.concat(
         F.coalesce(place["city"], F.lit("")), F.lit(", "), F.coalesce(place["country"], F.lit(""))
     )
     return jobs.select(
+        *carried(jobs),
         F.lit("workday").alias("source"),
         F.lit(None).cast("string").alias("source_job_id"),
         F.col("j.externalUrl").alias("source_url"),
@@ -148,8 +152,9 @@ def fetch_report(landing: DataFrame) -> DataFrame:
 
 
 def union_postings(*sources: DataFrame) -> DataFrame:
-    """All sources as one table of postings."""
+    """All sources as one table of postings; with the order of arrival if all of them carry it."""
+    kept = ARRIVAL if all(set(ARRIVAL) <= set(source.columns) for source in sources) else []
     return reduce(
         lambda left, right: left.unionByName(right, allowMissingColumns=True),
-        [source.select(*JOB_FIELDS) for source in sources],
+        [source.select(*JOB_FIELDS, *kept) for source in sources],
     ).withColumn("description_hash", content_hash(F.col("description_text")))

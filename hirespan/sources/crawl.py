@@ -27,3 +27,21 @@ def crawl_plan(totals: DataFrame) -> DataFrame:
     return searches.select(
         "company", F.col("s.title").alias("facet"), F.explode(_offsets(F.col("s.count"))).alias("page_offset")
     )
+
+
+def skipped_searches(totals: DataFrame) -> DataFrame:
+    """``company, facet, rows, reason``: what a crawl plan cannot reach, with the number of rows it leaves out.
+
+    Facets that are too large themselves are left out whole; without facets, what lies beyond the first 2000 is.
+    """
+    large = totals.where(F.col("total") > MOST_ROWS)
+    facets = large.select("company", F.explode("facets").alias("f")).where(F.col("f.count") > MOST_ROWS)
+    whole = large.where(F.coalesce(F.size("facets"), F.lit(0)) <= 0)
+    return facets.select(
+        "company", F.col("f.title").alias("facet"), F.col("f.count").alias("rows"), F.lit("facet is too large").alias("reason")
+    ).unionByName(
+        whole.select(
+            "company", F.lit(None).cast("string").alias("facet"), (F.col("total") - MOST_ROWS).alias("rows"),
+            F.lit("too many rows and no facets").alias("reason"),
+        )
+    )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Label of each status in exports, header of the CSV.
 STATUS_LABELS = {
@@ -36,9 +37,41 @@ def application_export(applications: DataFrame) -> DataFrame:
     return applications.select(*[value.alias(name) for value, name in zip(values, CSV_HEADER)])
 
 
+# Doubled quotes; an empty cell is written as a quoted one and read as text.
+CSV_FORMAT = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+# Most addresses in one file of a sitemap, and the elements it is made of.
+MOST_ADDRESSES = 50_000
+SITEMAP_SCHEMA = "loc string, lastmod timestamp, changefreq string, priority double"
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Quoted CSV with a header per part; quotes inside a cell are doubled."""
-    rows.write.mode("overwrite").csv(path, header=True, quoteAll=True, quote='"', escape='"')
+    """Quoted CSV with a header per part; quotes inside a cell are doubled.
+
+    Parts show once all tasks are done: what a failed task has written is not among them.
+    """
+    rows.write.mode("overwrite").csv(path, quoteAll=True, **CSV_FORMAT | {"emptyValue": '""'})
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A written export, all cells as text."""
+    schema = StructType([StructField(name, StringType()) for name in CSV_HEADER])
+    return spark.read.schema(schema).csv(path, multiLine=True, nullValue="\u0000", **CSV_FORMAT)
+
+
+def write_sitemap(rows: DataFrame, path: str, most: int = MOST_ADDRESSES) -> None:
+    """XML files of at most ``most`` addresses each."""
+    named = rows.select(
+        F.col("url").alias("loc"), F.col("last_modified").alias("lastmod"), F.col("change_frequency").alias("changefreq"), "priority"
+    )
+    writer = named.write.mode("overwrite").format("xml").option("rootTag", "urlset").option("rowTag", "url")
+    writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").option("maxRecordsPerFile", most).save(path)
+
+
+def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.schema(SITEMAP_SCHEMA).format("xml").option("rowTag", "url")
+    return reader.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").load(path).select(
+        F.col("loc").alias("url"), F.col("changefreq").alias("change_frequency"), "priority", F.col("lastmod").alias("last_modified")
+    )
 
 
 def sitemap(jobs: DataFrame, site: str, as_of: Column) -> DataFrame:

@@ -1,7 +1,8 @@
 """Postings in Markdown and HTML tables.
 
 Input ``pages``: ``page_id, body`` with one whole document per row, for instance from
-``read_pages``. Output: one row per posting in the columns of ``JOB_FIELDS``.
+``read_pages``, and perhaps ``fetched_at``. Output: one row per posting in the columns of ``JOB_FIELDS``,
+its ``position`` on the page, and when that was fetched, if known.
 """
 
 from __future__ import annotations
@@ -23,6 +24,14 @@ JOB_FIELDS = [
     "description_text", "status", "posted_at",
 ]
 
+# When a response was fetched, and where in it a posting stands: the order in which postings arrived.
+ARRIVAL = ["fetched_at", "position"]
+
+
+def carried(rows: DataFrame) -> list[str]:
+    """The columns of ``ARRIVAL`` that are there."""
+    return [name for name in ARRIVAL if name in rows.columns]
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as pages."""
@@ -35,7 +44,7 @@ def _as_jobs(rows: DataFrame) -> DataFrame:
     text = F.concat("role", F.lit(" at "), "company", F.lit(" - "), "location")
     return rows.select(
         "page_id",
-        "position",
+        *carried(rows),
         F.lit(LISTING_SOURCE).alias("source"),
         F.sha2("link", 256).alias("source_job_id"),
         F.col("link").alias("source_url"),
@@ -55,7 +64,8 @@ def _complete() -> Column:
 
 def parse_markdown(pages: DataFrame) -> DataFrame:
     """Rows of ``|`` tables. Heading and rule lines are dropped, as is any line naming ``Company``."""
-    lines = pages.select("page_id", F.posexplode(F.split("body", "\n")).alias("position", "_line"))
+    when = carried(pages)
+    lines = pages.select("page_id", *when, F.posexplode(F.split("body", "\n")).alias("position", "_line"))
     parts = F.split(F.col("_line"), r"\|")
     rows = (
         lines.withColumn("_line", trim_space(F.col("_line")))
@@ -64,6 +74,7 @@ def parse_markdown(pages: DataFrame) -> DataFrame:
         .where(F.size(parts) >= 5)
         .select(
             "page_id",
+            *when,
             "position",
             trim_space(F.get(parts, F.lit(1))).alias("company"),
             trim_space(F.get(parts, F.lit(2))).alias("role"),
@@ -76,27 +87,30 @@ def parse_markdown(pages: DataFrame) -> DataFrame:
 
 def parse_html(pages: DataFrame) -> DataFrame:
     """Rows of HTML tables; a blank or arrow company takes the last one named above on the page."""
+    when = carried(pages)
+
+    def cell(cells: Column, index: int) -> Column:
+        return tidy_cell(unescape_entities(drop_markup(F.get(cells, F.lit(index)))))
+
     rows = pages.select(
         "page_id",
+        *when,
         F.posexplode(F.regexp_extract_all("body", F.lit(HTML_ROW), F.lit(1))).alias("position", "_row"),
     )
     cells = rows.select(
-        "page_id", "position", F.regexp_extract_all("_row", F.lit(HTML_CELL), F.lit(1)).alias("_cells")
+        "page_id", *when, "position", F.regexp_extract_all("_row", F.lit(HTML_CELL), F.lit(1)).alias("_cells")
     ).where(F.size("_cells") >= 4)
-
-    def cell(index: int) -> Column:
-        return tidy_cell(unescape_entities(drop_markup(F.get("_cells", F.lit(index)))))
-
     read = cells.select(
         "page_id",
+        *when,
         "position",
-        cell(0).alias("company"),
-        cell(1).alias("role"),
-        cell(2).alias("location"),
+        cell(F.col("_cells"), 0).alias("company"),
+        cell(F.col("_cells"), 1).alias("role"),
+        cell(F.col("_cells"), 2).alias("location"),
         apply_link(F.get("_cells", F.lit(3))).alias("link"),
     )
     # A page is one input row, so its rows always fit one task.
-    above = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("page_id", *when).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(~F.col("company").isin(SAME_COMPANY, ""), F.col("company"))
     filled = read.withColumn("company", F.coalesce(F.last(named, ignorenulls=True).over(above), F.lit("")))
     return _as_jobs(filled.where(_complete()))

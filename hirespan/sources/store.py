@@ -1,17 +1,12 @@
-"""Tables in Parquet or JDBC.
-
-Plain Parquet has no row updates, so tables which change are kept in one of two ways. Small
-ones are written whole, as numbered versions. Large ones are kept as a change log: every batch
-writes the rows it touched under its own number, a reader takes the newest row of each key,
-and ``compact`` now and then writes the present rows in full so that the log stays short. In
-both, a folder counts only once complete and nothing that may be read is written over, so a
-lost executor or a repeated batch does no harm.
+"""Tables in Parquet.
+
+Plain Parquet has no row updates. Small tables which change are written whole, as numbered versions, of
+which a folder counts only once complete; so a lost executor or a repeated batch does no harm. Large ones
+are laid out in buckets (``hirespan.sources.buckets``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,19 +39,6 @@ def write_table(frame: DataFrame, path: str, partition_by: list[str] | None = No
     writer.parquet(path)
 
 
-def read_jdbc(
-    spark: SparkSession, url: str, table: str, key: str, lowest: int, highest: int, parts: int, **options: str
-) -> DataFrame:
-    """A database table, read in ranges of a numeric key by several tasks."""
-    return (
-        spark.read.format("jdbc")
-        .options(
-            url=url, dbtable=table, partitionColumn=key, lowerBound=lowest, upperBound=highest, numPartitions=parts, **options
-        )
-        .load()
-    )
-
-
 def has_rows(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).isEmpty()
@@ -93,36 +75,14 @@ def write_version(frame: DataFrame, path: str, version: int) -> None:
     frame.write.mode("overwrite").parquet(f"{path}/v={version:012d}")
 
 
-def write_changes(frame: DataFrame, path: str, number: int) -> None:
-    """The rows a batch touched, under the batch's number."""
-    write_version(frame, f"{path}/changes", number)
-
+def drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Remove the complete versions older than ``before``."""
+    for number in versions(spark, path):
+        if number < before:
+            place, files = _filesystem(spark, f"{path}/v={number:012d}")
+            files.delete(place, True)
 
-def read_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Rows of the newest full copy and of all changes after it, with their number ``_version``."""
-    def known(part: str) -> list[int]:
-        return [v for v in versions(spark, f"{path}/{part}") if before is None or v < before]
 
-    full = known("full")
-    start = full[-1] if full else -1
-    changes = [v for v in known("changes") if v > start]
-    parts = []
-    if full:
-        parts.append(spark.read.parquet(f"{path}/full/v={start:012d}").withColumn("v", F.lit(start).cast("long")))
-    if changes:
-        log = spark.read.option("basePath", f"{path}/changes").parquet(*[f"{path}/changes/v={v:012d}" for v in changes])
-        parts.append(log.withColumn("v", F.col("v").cast("long")))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("v", "_version") if parts else None
-
-
-def newest_rows(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest row of each key of a change log. Combined before the shuffle, so no key is hot."""
-    rest = [c for c in log.columns if c not in {*keys, "_version"}]
-    newest = F.max_by(F.struct(*rest), "_version")
-    return log.groupBy(*keys).agg(newest.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-
-
-def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
-    """Write the present rows in full; later readers start from them."""
-    number = versions(spark, f"{path}/changes")[-1]
-    write_version(newest_rows(read_log(spark, path), keys), f"{path}/full", number)
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _filesystem(spark, path)
+    return files.exists(place)

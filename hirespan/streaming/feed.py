@@ -11,9 +11,13 @@ from hirespan.sources.store import read_version, write_version
 ROLLING = 20
 
 
-def new_postings(stream: DataFrame, key: str, when: str, delay: str = "1 day") -> DataFrame:
-    """Each posting once, by key; repeats are known for ``delay`` of event time."""
-    return stream.withWatermark(when, delay).dropDuplicatesWithinWatermark([key])
+def new_postings(stream: DataFrame, key: str) -> DataFrame:
+    """Each posting once for as long as the stream lives, by key.
+
+    Every key ever shown is state, spread over the executors by its hash and kept on disk; a watermark would
+    bound it, but then a posting seen again later would be shown again.
+    """
+    return stream.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
 def newest(rows: DataFrame, when: str, key: str, count: int = ROLLING) -> DataFrame:
