@@ -40,7 +40,13 @@ def is_container(node: Column) -> Column:
 
 
 def read_text(node: Column, path: str, default: str) -> Column:
-    return F.coalesce(F.try_variant_get(node, path, "string"), F.lit(default))
+    """Text at ``path``: the default if there is none, '' for a list or an object."""
+
+    def shown(text: Column) -> Column:
+        nested = text.rlike(r"\A[\[{]") & is_container(F.try_variant_get(node, path, "variant"))
+        return F.when(text.isNull(), default).when(nested, "").otherwise(text)
+
+    return let(F.try_variant_get(node, path, "string"), shown)
 
 
 def element_text(node: Column) -> Column:
@@ -68,6 +74,17 @@ def read_score_map(node: Column, path: str) -> Column:
     )
 
 
+def read_sections(node: Column, path: str) -> Column:
+    """The entries of an object, each a list of texts or a text; null if there is no object."""
+
+    def section(value: Column) -> Column:
+        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), element_text)
+        return F.struct(F.when(items.isNull(), read_text(value, "$", "")).alias("text"), items.alias("items"))
+
+    entries = F.try_variant_get(node, path, "map<string,variant>")
+    return F.transform_values(entries, lambda _, value: section(value))
+
+
 def read_objects(node: Column, path: str, build, schema: str) -> Column:
     items = F.try_variant_get(node, path, "array<variant>")
     return F.coalesce(F.transform(items, build), F.array().cast(schema))
@@ -116,7 +133,7 @@ def parse_analyses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         read_list(node, "$.strengths").alias("strengths"),
         read_list(node, "$.improvements").alias("improvements"),
         read_text(node, "$.summary_verdict", DEFAULT_VERDICT).alias("summary_verdict"),
-        F.try_variant_get(node, "$.ats_parsed_sections", "variant").alias("ats_parsed_sections"),
+        read_sections(node, "$.ats_parsed_sections").alias("ats_parsed_sections"),
         read_objects(
             node,
             "$.recruiter_take",

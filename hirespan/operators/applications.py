@@ -226,6 +226,11 @@ def score_applications(
     )
 
 
+def with_scored_status(scored: DataFrame) -> DataFrame:
+    """Scored applications as they are kept: SCORED where a score was worked out, else APPLIED."""
+    return scored.withColumn("status", F.when(F.col("is_scored"), "SCORED").otherwise("APPLIED"))
+
+
 def scores_of_jobs(scores: DataFrame, applications: DataFrame, wanted: DataFrame) -> DataFrame:
     """Scores whose application is for one of the wanted jobs."""
     chosen = applications.join(wanted.select("job_id").distinct(), "job_id", "left_semi")

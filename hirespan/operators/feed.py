@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hirespan.functions.text import keyword_match, normal_skills
 
 # Page size if the asked one is out of range, and that range.
 DEFAULT_SIZE, LARGEST_SIZE = 20, 100
+# Rows that are sorted for a page without looking for narrower ranges.
+FEW_ROWS = 1_000_000
 
 SUMMARY_COLUMNS = [
     "job_id", "title", "company", "location", "employment_type", "posted_at", "scraped_at", "status", "source_url",
@@ -79,6 +81,62 @@ def feed_page(
     return rows if profile is None else _match(rows, profile)
 
 
+def deep_page(rows: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of the feed, however far down, without sorting what is above it.
+
+    Counts per day of the sort key say in which days the page lies, at most as many as it has rows; if these
+    hold many rows, counts per second narrow them down again. Only rows of those ranges are sorted.
+    """
+    page = max(page, 0)
+    size = size if 1 <= size <= LARGEST_SIZE else DEFAULT_SIZE
+    start = page * size
+    for unit in ("DAY", "SECOND"):
+        rows = rows.withColumn("_range", F.date_trunc(unit, effective_date()))
+        running = Window.orderBy(F.col("_range").desc_nulls_last())
+        counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("before", F.sum("n").over(running) - F.col("n"))
+        met = counts.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).collect()
+        if not met:
+            return rows.drop("_range").limit(0)
+        wanted = rows.sparkSession.createDataFrame([(r["_range"],) for r in met], counts.select("_range").schema)
+        rows = rows.join(F.broadcast(wanted), rows["_range"].eqNullSafe(wanted["_range"]), "left_semi").drop("_range")
+        start -= min(r["before"] for r in met)
+        if sum(r["n"] for r in met) <= FEW_ROWS:
+            break
+    return feed_order(rows).offset(start).limit(size)
+
+
+def served_page(
+    jobs: DataFrame, page: int = 0, size: int = 100, profile: DataFrame | None = None, **filters
+) -> DataFrame:
+    """A page as it is served: its jobs in order, each with ``position``, ``total`` and ``last_sync``.
+
+    One scan gives the page, the rows under the filters and the newest date of all active jobs: the latter two are
+    observed while rows pass on to the sort, which keeps a page's worth of them per task. The match with a
+    ``profile`` is worked out for the page only. A page without jobs has no rows.
+    """
+    matching = F.lit(True)
+    for condition in feed_conditions(**filters):
+        matching = matching & F.coalesce(condition, F.lit(False))
+    seen = Observation()
+    observed = jobs.where(is_active()).observe(
+        seen, F.count_if(matching).alias("total"), F.max(effective_date()).alias("last_sync")
+    )
+    rows = page_of(feed_order(observed.where(matching)), page, size)
+    spark = jobs.sparkSession
+    held = rows.collect()  # at most LARGEST_SIZE rows
+    about = seen.get
+    schema = rows.schema.add("position", "long").add("total", "long").add("last_sync", jobs.select(effective_date()).schema[0].dataType)
+    served = [(*row, at, about["total"], about["last_sync"]) for at, row in enumerate(held)]
+    out = spark.createDataFrame(served, schema)
+    return out if profile is None else _match(out, profile)
+
+
+def job_details(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The details of active jobs among the wanted ids."""
+    return active_job(jobs, wanted).select(*DETAIL_COLUMNS)
+
+
 def with_match(jobs: DataFrame, profile: DataFrame) -> DataFrame:
     """Jobs with the match percentage of one profile (a single row with ``skills``)."""
     return _match(jobs, profile)

@@ -1,8 +1,7 @@
 """Keeping tables current: upserts, closings, deletes, status logs.
 
-Plain Parquet has no MERGE, so each function gives the full next state of the table from its
-present state and a batch. Writers put it beside the old one (``sources.store``). Batches are
-first reduced to one row per key by an aggregate that Spark combines before the shuffle, so a
+Plain Parquet has no MERGE, so each function gives the next state of a table from its present state
+and a batch. Of a large table that is the part a batch touches (``sources.buckets``). Batches are first reduced to one row per key by an aggregate that Spark combines before the shuffle, so a
 key repeated any number of times costs one row per task.
 """
 
@@ -50,9 +49,14 @@ def _fold_batch(batch: DataFrame) -> DataFrame:
     )
 
 
-def upsert_jobs(target: DataFrame, batch: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+def upsert_jobs(
+    target: DataFrame, batch: DataFrame, as_of: Column, owners: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(next table, rejects)``.
 
+    ``target`` may be a part of the table that holds all URLs of the batch, if ``owners`` (source,
+    source_job_id) then holds those of the batch's source keys that are taken in all of it.
+
     ``batch`` rows carry the posting's columns, ``scraped_at`` and a unique ``arrival``. A known
     URL gets the newest text, becomes active again, and keeps its identity and its first
     known posted date. A new URL is added, unless its (source, source key) belongs to another
@@ -65,7 +69,8 @@ def upsert_jobs(target: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Dat
     keyed = fresh.where("source is not null and source_job_id is not null")
     keys = ["source", "source_job_id"]
     winners = keyed.groupBy(*keys).agg(F.min(F.struct("_order", "source_url")).alias("_w"))
-    taken = target.where("source_job_id is not null").select(*keys, F.lit(True).alias("_taken"))
+    owners = target if owners is None else owners
+    taken = owners.where("source_job_id is not null").select(*keys, F.lit(True).alias("_taken"))
     clashes = (
         keyed.join(winners, keys)
         .join(taken, keys, "left")

@@ -6,7 +6,7 @@ from hirespan.functions import ages, scoring
 from hirespan.operators import applications as apps
 from hirespan.operators import ghost, percentile, profiles
 from hirespan.plans.bindings import AS_OF
-from hirespan.plans.registry import query
+from hirespan.plans.registry import ORACLES, query
 
 NOW = f"timestamp '{AS_OF}'"
 TIER = """case when {r} >= 90 then 'ALPHA_DOG' when {r} >= 75 then 'GOOD_BOY' when {r} >= 60 then 'FETCH_PLAYER'
@@ -289,6 +289,14 @@ def _score_inputs(load):
     return load("v_applications"), candidate, wanted, load("v_jobs")
 
 
+@query(
+    "scored_status_u11",
+    "select application_id, case when is_scored then 'SCORED' else 'APPLIED' end as status from (" + ORACLES["match_scores_j5_p3_p7"] + ")",
+)
+def scored_status(load):
+    return apps.with_scored_status(apps.score_applications(*_score_inputs(load))).select("application_id", "status")
+
+
 @query(
     "scores_of_jobs_j6",
     """select application_id, match_score from v_scores where application_id in (

@@ -151,6 +151,49 @@ def job_summaries(load):
     return load("v_jobs").select(feed.SUMMARY_COLUMNS)
 
 
+@query(
+    "feed_deep_page_o2",
+    f"""select {SUMMARY} from v_jobs where status = 'ACTIVE'
+        order by coalesce(posted_at, scraped_at) desc, job_id limit 50 offset 1500""",
+)
+def feed_deep_page(load):
+    return feed.deep_page(load("v_jobs").where(feed.is_active()).select(feed.SUMMARY_COLUMNS), page=30, size=50)
+
+
+SERVED = f"""
+  with page as (select {SUMMARY}, row_number() over (order by coalesce(posted_at, scraped_at) desc, job_id) - 1 as position from v_jobs
+      where status = 'ACTIVE' and lower(location) like '%remote%'),
+    about as (select count(*) filter (lower(location) like '%remote%') as total,
+        max(coalesce(posted_at, scraped_at)) as last_sync from v_jobs where status = 'ACTIVE')
+  select {SUMMARY}, position - 25 as position, total, last_sync from page, about where position >= 25 and position < 50"""
+
+
+@query("feed_served_f19_o1", SERVED)
+def feed_served(load):
+    return feed.served_page(load("v_jobs").select(feed.SUMMARY_COLUMNS), page=1, size=25, remote=True)
+
+
+@query(
+    "job_details_f19",
+    """with d as (select doc_id as job_id, text as description_text, source, lang,
+           case when doc_id % 3 = 0 then 'CLOSED' else 'ACTIVE' end as status from documents)
+       select job_id, concat('Role ', lang) as title, source as company, lang as location, 'INTERNSHIP' as employment_type,
+         cast(null as timestamp) as posted_at, timestamp '2001-01-01 00:00:00' as scraped_at, status,
+         concat('https://jobs.example.com/', job_id) as source_url, description_text
+       from d where status = 'ACTIVE' and job_id in (select event_id from events where event_type = 'view')""",
+)
+def job_details(load):
+    jobs = load("documents").select(
+        F.col("doc_id").alias("job_id"), F.concat(F.lit("Role "), "lang").alias("title"), F.col("source").alias("company"),
+        F.col("lang").alias("location"), F.lit("INTERNSHIP").alias("employment_type"), F.lit(None).cast("timestamp").alias("posted_at"),
+        F.lit("2001-01-01 00:00:00").cast("timestamp").alias("scraped_at"),
+        F.when(F.col("doc_id") % 3 == 0, "CLOSED").otherwise("ACTIVE").alias("status"),
+        F.concat(F.lit("https://jobs.example.com/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("text").alias("description_text"),
+    )
+    wanted = load("events").where("event_type = 'view'").select(F.col("event_id").alias("job_id"))
+    return feed.job_details(jobs, wanted)
+
+
 AGE = "(epoch_ms({now}) - epoch_ms({when}))"
 LABEL = """case when {when} is null or {age} < 0 or {age} > 31536000000 then ''
   when {age} // 3600000 < 1 then 'just now' when {age} // 3600000 < 24 then concat({age} // 3600000, 'h ago')

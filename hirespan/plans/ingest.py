@@ -13,6 +13,7 @@ from hirespan.plans.bindings import AS_OF
 from hirespan.plans.candidates import LIST_SQL
 from hirespan.plans.registry import query
 from hirespan.plans.texts import SPACE
+from hirespan.session import shared_folder
 from hirespan.sources import boards, columns, crawl, exports, listings, uploads
 
 PER_PAGE = 20
@@ -289,16 +290,19 @@ def union_sources(load):
     )
 
 
-@query(
-    "crawl_plan_s8",
-    """with totals as (
+CRAWL_TOTALS = """
          select s_name as company, count(*) as total, null as facet, null as facet_count
            from lineitem join supplier on s_suppkey = l_suppkey group by s_name
          union all select concat('status ', l_linestatus), count(*), null, null from lineitem group by l_linestatus
          union all select p_brand, sum(count(*)) over (partition by p_brand), concat('line ', l_linenumber), count(*)
            from lineitem join part on p_partkey = l_partkey group by p_brand, l_linenumber
          union all select concat('flag ', l_returnflag), sum(count(*)) over (partition by l_returnflag), concat('line ', l_linenumber), count(*)
-           from lineitem group by l_returnflag, l_linenumber),
+           from lineitem group by l_returnflag, l_linenumber"""
+
+
+@query(
+    "crawl_plan_s8",
+    f"""with totals as ({CRAWL_TOTALS}),
        searches as (
          select company, facet, facet_count as n from totals where total > 2000 and facet is not null and facet_count <= 2000
          union all select distinct company, cast(null as varchar), least(total, 2000) from totals
@@ -306,6 +310,22 @@ def union_sources(load):
        select company, facet, cast(unnest(range(0, cast(n as bigint), 20)) as int) as page_offset from searches""",
 )
 def crawl_plan(load):
+    return crawl.crawl_plan(_crawl_totals(load))
+
+
+@query(
+    "crawl_skipped_s8",
+    f"""with totals as ({CRAWL_TOTALS})
+       select company, facet, cast(facet_count as int) as rows, 'facet is too large' as reason from totals
+         where total > 2000 and facet_count > 2000
+       union all select company, null, cast(total - 2000 as int), 'too many rows and no facets' from totals
+         where total > 2000 and facet is null""",
+)
+def crawl_skipped(load):
+    return crawl.skipped_searches(_crawl_totals(load))
+
+
+def _crawl_totals(load):
     items = load("lineitem")
     number = F.count(F.lit(1)).cast("int").alias("n")
     plain_sources = [
@@ -325,7 +345,7 @@ def crawl_plan(load):
     faceted = faceted_sources[0].unionByName(faceted_sources[1]).groupBy("company").agg(
         F.sum("n").cast("int").alias("total"), F.collect_list(F.struct("title", F.col("n").alias("count"))).alias("facets")
     )
-    return crawl.crawl_plan(plain.unionByName(faceted))
+    return plain.unionByName(faceted)
 
 
 @query(
@@ -368,7 +388,9 @@ def application_export(load):
     listed = apps.application_list(
         load("v_applications"), load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(load("v_scores"))
     )
-    return exports.application_export(listed)
+    folder = shared_folder(load.spark, "export")
+    exports.write_csv(exports.application_export(listed), folder)
+    return exports.read_csv(load.spark, folder)
 
 
 @query(
@@ -380,7 +402,9 @@ def application_export(load):
           from v_jobs where status = 'ACTIVE'""",
 )
 def sitemap(load):
-    return exports.sitemap(load("v_jobs"), "https://site.example.com/", ages.moment(AS_OF))
+    folder = shared_folder(load.spark, "sitemap")
+    exports.write_sitemap(exports.sitemap(load("v_jobs"), "https://site.example.com/", ages.moment(AS_OF)), folder)
+    return exports.read_sitemap(load.spark, folder)
 
 
 UPLOAD = """case when lang = 'en' then concat('%PDF-1.7', chr(10), text) when lang = 'fr' then text

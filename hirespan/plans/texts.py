@@ -124,6 +124,17 @@ def clean_cells(load):
     return rows.select("page_id", "position", text.clean_cell(F.col("_cell")).alias("content"))
 
 
+@query(
+    "clean_pages_p16",
+    f"""with bare as (select page_id, regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', ', ', 'g'), '(?s)<[^>]+>', '', 'g') as c from pages),
+        named as (select page_id, regexp_replace(regexp_replace(regexp_replace(c, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g') as c from bare)
+        select page_id, trim(regexp_replace(replace(regexp_replace(c, '&amp;?', '&', 'g'), '🔥', ''), '{SPACE}', ' ', 'g')) as content from named""",
+)
+def clean_pages(load):
+    """Whole pages taken as one cell."""
+    return load("pages").select("page_id", text.clean_cell(F.col("html")).alias("content"))
+
+
 @query(
     "apply_links_s3",
     f"""with found as (select page_id, unnest(regexp_extract_all(html, 'href="(https?://[^"]+)"', 1)) as link,
@@ -259,10 +270,39 @@ def analysis_records(load):
         F.get("bullet_feedback", F.lit(0))["score"].alias("first_bullet_score"),
         F.col("summary_verdict").alias("verdict"),
         F.concat_ws(":", F.get("recruiter_take", F.lit(0))["grade"], F.get("recruiter_take", F.lit(0))["red_flags"]).alias("take"),
-        F.try_variant_get("ats_parsed_sections", "$.name", "string").alias("parsed_name"),
+        F.col("ats_parsed_sections")["name"]["text"].alias("parsed_name"),
     )
 
 
+@query(
+    "analysis_sections_p19",
+    f"""with r as (select * from orders where o_orderpriority <> '5-LOW' and o_orderstatus <> 'P')
+        select o_orderkey as response_id, 'name' as section, cast(o_custkey as varchar) as text, null as items,
+          case when o_orderstatus = 'F' then '' else 'Analysis complete.' end as verdict from r
+        union all select o_orderkey, 'skills', null, concat(o_orderstatus, '|null||7'), case when o_orderstatus = 'F' then '' else 'Analysis complete.' end from r
+        union all select o_orderkey, 'dates', '', null, case when o_orderstatus = 'F' then '' else 'Analysis complete.' end from r
+        union all select o_orderkey, 'nothing', '', null, case when o_orderstatus = 'F' then '' else 'Analysis complete.' end from r
+        union all select o_orderkey, 'empty', null, '', case when o_orderstatus = 'F' then '' else 'Analysis complete.' end from r""",
+)
+def analysis_sections(load):
+    """Sections of every shape; where they are no object, as for one status, there are none."""
+    status = F.col("o_orderstatus")
+    sections = F.concat(
+        F.lit('{"name":'), F.col("o_custkey").cast("string"), F.lit(',"skills":["'), status,
+        F.lit('",null,{"a":1},7],"dates":{"from":1,"to":[2]},"nothing":null,"empty":[]}'),
+    )
+    body = F.struct(
+        F.parse_json(F.when(status == "P", F.lit('["no object"]')).otherwise(sections)).alias("ats_parsed_sections"),
+        F.parse_json(F.when(status == "F", F.lit('{"nested":"verdict"}'))).alias("summary_verdict"),
+    )
+    read, _ = records.parse_analyses(_responses(load, body))
+    each = read.select("response_id", F.explode("ats_parsed_sections").alias("section", "_v"), "summary_verdict")
+    return each.select(
+        "response_id", "section", F.col("_v.text").alias("text"), F.array_join("_v.items", "|").alias("items"),
+        F.col("summary_verdict").alias("verdict"),
+    )
+
+
 @query(
     "fit_records_p20",
     f"""select o_orderkey as response_id, case when o_orderpriority = '5-LOW' then null

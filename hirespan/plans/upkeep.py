@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hirespan.functions import ages
-from hirespan.operators import tables
+from hirespan.operators import lifecycle, tables
 from hirespan.plans.bindings import AS_OF
 from hirespan.plans.registry import query
 
@@ -16,7 +16,7 @@ SEEN_ITEMS = f"""
   select concat_ws('-', cast(l_orderkey as varchar(20)), cast(l_linenumber as varchar(20)), cast(l_suppkey as varchar(20)),
       cast(cast(l_quantity as bigint) as varchar(20)), cast(cast(round(l_extendedprice * 100) as bigint) as varchar(20)),
       cast(cast(round(l_discount * 100) as bigint) as varchar(20)), l_returnflag, l_linestatus) as arrival,
-    {URL.format(k='l_partkey')} as source_url, case when l_suppkey % 2 = 0 then 'greenhouse' else 'lever' end as source,
+    {URL.format(k='l_partkey * 2')} as source_url, case when l_suppkey % 2 = 0 then 'greenhouse' else 'lever' end as source,
     case when l_quantity < 5 then '' else concat('k', cast(l_partkey % 500 as varchar(20)), l_returnflag) end as source_job_id,
     concat('Role ', l_returnflag) as title, concat('Firm ', l_linestatus) as company, l_returnflag as location,
     'INTERNSHIP' as employment_type, concat('Text ', cast(l_quantity as varchar(20))) as description_text,
@@ -24,14 +24,14 @@ SEEN_ITEMS = f"""
     case when l_discount > 0.02 then l_shipdate end as posted_at, l_shipdate as scraped_at
   from {{lineitem}}"""
 SEEN_ORDERS = f"""
-  select o_orderkey as arrival, {URL.format(k='o_orderkey % 5000')} as source_url, 'greenhouse' as source,
+  select o_orderkey as arrival, {URL.format(k='o_orderkey % 5000 * 3')} as source_url, 'greenhouse' as source,
     concat('k', cast(o_orderkey % 4000 as varchar(20))) as source_job_id,
     concat('Role ', o_orderstatus) as title, concat('Firm ', o_orderpriority) as company, o_orderstatus as location,
     'INTERNSHIP' as employment_type, concat('Text ', cast(o_orderkey as varchar(20))) as description_text,
     cast(o_orderkey % 7 as int) as minimum_years_experience, cast(null as varchar(20)) as education_level,
     case when o_orderstatus <> 'F' then o_orderdate end as posted_at, o_orderdate as scraped_at
   from {{orders}}"""
-# The table before: the smaller parts.
+# The table before: all parts. Half of what is seen is under URLs that it does not have.
 PRESENT = f"""
   select concat('j', cast(p_partkey as varchar(20))) as job_id, 'greenhouse' as source,
     concat('k', cast(p_partkey % 500 as varchar(20)), substr(p_type, 1, 1)) as source_job_id,
@@ -41,7 +41,7 @@ PRESENT = f"""
     cast('PHD' as varchar(20)) as education_level, case when p_size % 3 = 0 then timestamp '1990-01-01 00:00:00' end as posted_at,
     timestamp '1990-01-02 00:00:00' as scraped_at, timestamp '1990-01-03 00:00:00' as created_at,
     timestamp '1990-01-04 00:00:00' as updated_at
-  from {{part}} where p_size <= 25"""
+  from {{part}}"""
 
 
 def _upsert_sql(seen: str, result: str) -> str:
@@ -212,6 +212,25 @@ def latest_status(load):
     return tables.latest_status(log, "user_id")
 
 
+# What an event does to its user's resume.
+STEP = "case event_type when 'signup' then 'UPLOADED' when 'click' then 'PARSED' when 'error' then 'FAILED' else 'PROCESSING' end"
+LEGAL = ", ".join(f"'{state}>{step}'" for state, after in lifecycle.RESUME.items() for step in after)
+
+
+@query(
+    "life_cycle_u11",
+    f"""with l as (select user_id, list({{'s': {STEP}, 'ok': 0::bigint, 'bad': 0::bigint}} order by ts, event_id) as steps from events group by user_id),
+        r as (select user_id, list_reduce(list_prepend({{'s': '', 'ok': 0::bigint, 'bad': 0::bigint}}, steps), lambda a, x:
+            case when concat(a.s, '>', x.s) in ({LEGAL}) then {{'s': x.s, 'ok': a.ok + 1, 'bad': a.bad}}
+                 else {{'s': a.s, 'ok': a.ok, 'bad': a.bad + 1}} end) as f from l)
+        select user_id, f.s as state, f.ok as steps, f.bad as rejected from r""",
+)
+def life_cycle(load):
+    log = load("events").select("user_id", F.expr(STEP).alias("status"), "ts", "event_id")
+    order = ["ts", "event_id"]
+    return lifecycle.current(lifecycle.steps(log, "user_id", lifecycle.RESUME, order), "user_id", order)
+
+
 @query(
     "new_users_u12",
     """with l as (select event_id, lower(trim(concat(' User', user_id * 20, '@Example.com '))) as email, user_id, event_type from events),

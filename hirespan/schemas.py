@@ -45,7 +45,7 @@ TABLES = {
     "resume_analyses": (
         "resume_id string, user_level string, target_role string, overall_score int, ats_score int, ats_issues array<string>, "
         "section_scores map<string,int>, bullet_feedback array<struct<original:string,score:int,issue:string,improved:string>>, "
-        "strengths array<string>, improvements array<string>, summary_verdict string, ats_parsed_sections variant, "
+        "strengths array<string>, improvements array<string>, summary_verdict string, ats_parsed_sections map<string,struct<text:string,items:array<string>>>, "
         "recruiter_take array<struct<section:string,grade:string,comment:string,red_flags:array<string>>>, "
         "analyzed_at timestamp" + BASE
     ),
