@@ -5,9 +5,10 @@ further labelled rows turns compressed sizes into the chance that a text is good
 text are its sizes with either dictionary and with none, per byte: above all the normalised difference
 of the first two. All are worked out block by block over the whole text, so none depends on its length.
 
-``SAMPLE`` rows of each label, lowest hash of the id first, bound what is brought to the driver to fit
-(dictionaries from one half, calibration from the other). The model is some hundred kilobytes and goes
-to the tasks with the function.
+A fit uses ``SAMPLE`` rows of each label, lowest hash of the id first: every other one for the dictionaries,
+the rest for calibration. Texts are used whole. Those for a dictionary are read by the driver, as many of
+them as ``BYTES`` hold; those for calibration are measured by tasks, which give back numbers. The model is
+some hundred kilobytes and goes to the tasks with the function.
 
 Defined results: a null or empty text gets the model's share of good rows; repeated rows get equal
 scores; an empty table gives an empty one. Without rows of both labels every score is that share (0.5
@@ -26,10 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirespan.llm.tables import small_batches
+from hirespan.llm.tables import small_batches, written
 
 SAMPLE = 1500
-SAMPLE_CHARS = 20_000  # of a sampled text: what a fit takes of it, not what is scored
+BYTES = 8 << 20  # of texts of one label that a dictionary is made from
 DICTIONARY = 48 << 10
 BLOCK = 16 << 10
 LEVEL = 3
@@ -113,21 +114,30 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     chosen = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "id").limit(SAMPLE).collect()]
-    chosen = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
+    # At most twice SAMPLE rows are sent to all tasks. Rows of one id with different texts are one by one.
+    chosen = spark.createDataFrame([(r["id"], r["y"], k % 2) for k, r in enumerate(chosen)], "id long, y int, half int")
     found = docs.where(F.col(text) != "").join(F.broadcast(chosen), F.col(doc_id) == F.col("id"))
-    found = found.select("id", "y", F.substring(text, 1, SAMPLE_CHARS).alias("t")).distinct().collect()
-    sample = {y: sorted((r for r in found if r["y"] == y), key=lambda r: (r["id"], r["t"])) for y in (0, 1)}
-    if not sample[0] or not sample[1]:
+    found = written(found.select("id", "y", "half", F.col(text).alias("t")).distinct(), "sample")
+    sizes = found.where("half = 0").select("id", "y", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h")).collect()
+    texts = {y: _read(found, y, [r for r in sizes if r["y"] == y]) for y in (0, 1)}
+    if not texts[0] or not texts[1]:
         return Model((b"", b""), (), (), (), share)
-    texts = {y: [r["t"].encode("utf-8", "replace") for r in sample[y]] for y in (0, 1)}
-    first = {y: texts[y][0::2] for y in (0, 1)}
-    rest = {y: texts[y][1::2] or texts[y] for y in (0, 1)}
-    dictionaries = (_dictionary(first[0]), _dictionary(first[1]))
-    sizes = Sizes(dictionaries)
-    x = np.array([sizes.measures(t) for y in (0, 1) for t in rest[y]])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
+    dictionaries = (_dictionary(texts[0]), _dictionary(texts[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            measures = [_sizes(dictionaries).measures(t.encode("utf-8", "replace")) for t in batch.column("t").to_pylist()]
+            columns = {"id": batch.column("id"), "y": batch.column("y"), "half": batch.column("half"), "x": pa.array(measures, pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    small_batches(spark)
+    rest = found.select("id", "y", "half", "t").mapInArrow(run, "id long, y int, half int, x array<double>").collect()
+    rest = sorted(rest, key=lambda r: (r["y"], r["id"], r["x"]))
+    rows = {y: [r for r in rest if r["y"] == y and r["half"]] or [r for r in rest if r["y"] == y] for y in (0, 1)}
+    x = np.array([r["x"] for y in (0, 1) for r in rows[y]])
+    y = np.repeat([0.0, 1.0], [len(rows[0]), len(rows[1])])
     # Each label weighs as much as it has among all labelled rows, so that scores are calibrated to them.
-    weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
+    weight = np.where(y == 1, share / len(rows[1]), (1 - share) / len(rows[0])) * len(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = _expanded(x, tuple(mean), tuple(scale))
     w = np.zeros(z.shape[1])
@@ -142,6 +152,18 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(dictionaries, tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), share)
 
 
+def _read(found: DataFrame, label: int, sizes: list) -> list[bytes]:
+    """Whole texts of a label in the order of their ids, as many as ``BYTES`` hold."""
+    held, wanted = 0, []
+    for r in sorted(sizes, key=lambda r: (r["id"], r["h"])):
+        if held + r["n"] <= BYTES:
+            held += r["n"]
+            wanted.append((r["id"], r["h"]))
+    some = found.where((F.col("half") == 0) & (F.col("y") == label)).withColumn("h", F.xxhash64("t"))
+    some = some.join(F.broadcast(found.sparkSession.createDataFrame(wanted, "id long, h long")), ["id", "h"]).collect()
+    return [r["t"].encode("utf-8", "replace") for r in sorted(some, key=lambda r: (r["id"], r["h"]))]
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``."""
     docs = docs.drop("score", "predicted")

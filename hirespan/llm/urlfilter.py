@@ -7,8 +7,9 @@ verdicts. Every host suffix of a url is looked up among the hosts first; only a
 tried with the path lengths that occur. A key found is confirmed against the stored string, and all
 entries of an equal key are looked at, so a collision never decides.
 
-The file goes to the executors once, by Spark's own file distribution; ``MOST_BYTES`` bounds it. Beyond
-that the same keys are joined with the table of rules by Spark (``judged_by_join``), to the same result.
+The file goes to the executors once, by Spark's own file distribution; it is mapped, not loaded, and rules
+that take more than ``MOST_BYTES`` are refused with an error. A rule's host counts in lower case, and is reported
+so; a rule without a slash is an error.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; no rule fits it. A url
 no rule fits is allowed. Repeated rows are judged alike, an empty table gives an empty one, and columns
@@ -33,7 +34,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from hirespan.llm.tables import small_batches
 
 VERDICTS = ("allow", "block")
-MOST_BYTES = 256 << 20
+MOST_BYTES = 4 << 30
 _SENT: set[tuple[str, str]] = set()  # by application and name
 
 
@@ -46,7 +47,11 @@ def store(rules: list[tuple[str, str]]) -> bytes:
 
     A host's own entry is its name without a path; its verdict says that it has rules (2).
     """
-    entries = {rule.encode(): VERDICTS.index(verdict) for rule, verdict in rules}
+    if unclear := [rule for rule, _ in rules if "/" not in rule]:
+        raise ValueError(f"rules need a slash behind the host: {unclear[:5]}")
+    split = [(rule.partition("/"), verdict) for rule, verdict in rules]
+    # Of bytes, lower() is for A-Z only.
+    entries = {host.encode().lower() + b"/" + path.encode(): VERDICTS.index(verdict) for (host, _, path), verdict in split}
     lengths = sorted({len(rule) - rule.index(b"/") for rule in entries})
     entries |= {rule[: rule.index(b"/")]: 2 for rule in list(entries)}
     ordered = sorted((key(text), text, verdict) for text, verdict in entries.items())
@@ -135,7 +140,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") ->
     spark = pages.sparkSession
     raw = store(rules)
     if len(raw) > MOST_BYTES:
-        return judged_by_join(pages, spark.createDataFrame(rules, "rule string, verdict string"), url)
+        raise ValueError(f"rules take {len(raw)} bytes, at most {MOST_BYTES} are possible")
     name = f"rules-{xxhash.xxh3_128_hexdigest(raw)}.bin"
     if (spark.sparkContext.applicationId, name) not in _SENT:
         path = os.path.join(tempfile.mkdtemp(prefix="hirespan-rules-"), name)
@@ -155,21 +160,3 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") ->
     small_batches(spark)
     schema = StructType([*parts.schema.fields, StructField("rule", StringType()), StructField("verdict", StringType())])
     return parts.mapInArrow(run, schema)
-
-
-def judged_by_join(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """The same for a table of any size (rule, verdict), by a join on each prefix a url offers."""
-    parts = with_parts(pages.drop("rule", "verdict"), url).withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), ".")
-    )
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    offered = parts.where("host <> '' and path <> ''").select("_row", F.explode(suffixes).alias("_s"), prefixes.alias("_p"))
-    offered = offered.select("_row", F.concat("_s", F.explode("_p")).alias("rule"))
-    best = offered.join(rules, "rule").groupBy("_row").agg(F.max_by(F.struct("rule", "verdict"), F.octet_length("rule")).alias("_b"))
-    return parts.join(best, "_row", "left").select(
-        *[c for c in parts.columns if c != "_row"],
-        F.col("_b.rule").alias("rule"),
-        F.coalesce("_b.verdict", F.lit("allow")).alias("verdict"),
-    )
