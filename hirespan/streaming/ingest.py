@@ -20,7 +20,7 @@ LANDING_SCHEMA = "kind string, company string, token string, fetched_at timestam
 
 PROFILE_SCHEMA = "resume_id {kind}, skills array<string>, years_experience int, education_level string, status string"
 REQUIREMENTS = ["job_id", "required_skills", "preferred_skills"]
-BUCKETS = 64
+BUCKETS = 16  # for tables of some gigabytes; give more for larger ones
 
 
 def postings_of(landing: DataFrame) -> tuple[DataFrame, DataFrame]:

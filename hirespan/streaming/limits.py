@@ -45,7 +45,7 @@ def attempts_over_limit(events: DataFrame, client: str, when: str, allowed: int
     return _over(_counted(known, firsts, client, when, span), client, allowed)
 
 
-def attempts_batch(path: str, client: str, kind: str, when: str, span: str = SPAN, buckets: int = 64):
+def attempts_batch(path: str, client: str, kind: str, when: str, span: str = SPAN, buckets: int = 16):
     """A batch handler that counts attempts as they arrive.
 
     What is kept is every client's first attempt; a batch writes its own counts, which are added to those of

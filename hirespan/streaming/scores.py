@@ -23,7 +23,7 @@ FRESH = ["application_id", "user_id", "job_id", "match_score", "scored_at"]
 
 
 def score_batch(
-    path: str, profiles: DataFrame, requirements: DataFrame, jobs: DataFrame, slices: str = SLICE, buckets: int = 64
+    path: str, profiles: DataFrame, requirements: DataFrame, jobs: DataFrame, slices: str = SLICE, buckets: int = 16
 ):
     """A batch handler: score new applications, rank them, and rank anew those that they come before.
 
