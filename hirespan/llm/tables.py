@@ -49,7 +49,7 @@ def remainder(doc_id: str = "doc_id"):
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what Spark hands to a Python worker at once, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bound what Spark hands to a Python worker at once, in rows and in bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -32,6 +32,7 @@ from hirespan.llm import tokens
 from hirespan.llm.tables import small_batches
 
 LENGTH, ROWS = 2048, 256
+RECORDS, SLICE = 5000, 16 << 20  # documents, and bytes of them, that are encoded at once
 INDEX = "doc_id long, file string, first long, n_tokens long"
 
 
@@ -80,12 +81,15 @@ class Reader:
         system, inner = fs.FileSystem.from_uri(path)
         local = isinstance(system, fs.LocalFileSystem)
         self.file = ipc.open_file(pa.memory_map(inner) if local else system.open_input_file(inner))
+        self.held: tuple[int, np.ndarray] = (-1, np.empty(0))  # the record batch read last
 
     def ids(self, first: int, count: int) -> np.ndarray:
         """``count`` ids from the ``first`` on."""
         each, found = LENGTH * ROWS, []
         for k in range(first // each, (first + count - 1) // each + 1 if count else 0):
-            values = self.file.get_batch(k).column("ids").values.to_numpy()
+            if self.held[0] != k:
+                self.held = (k, self.file.get_batch(k).column("ids").values.to_numpy())
+            values = self.held[1]
             found.append(values[max(0, first - k * each) : first + count - k * each])
         return np.concatenate(found) if len(found) != 1 else found[0]
 
@@ -102,7 +106,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
         writer = None
         for batch in batches:
-            for some in tokens.parts_of(batch, "text", tokens.SLICE):
+            for some in tokens.parts_of(batch, "text", SLICE):
                 writer = writer or Writer(f"{folder}/files", name, coder.tokenizer.get_vocab_size())
                 first = writer.total
                 ids, starts = tokens.with_end(*coder.encode(some.column("text")))
@@ -119,7 +123,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
             writer.close()
 
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, RECORDS)
     ordered = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
