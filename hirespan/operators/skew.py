@@ -30,6 +30,14 @@ def checked_parts(df: DataFrame, parts: int | None) -> int:
     return parts
 
 
+def spread(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """``rows`` dealt out evenly over ``parts`` tasks, for costly work on each of few large row groups.
+
+    A table of many files needs none of this: its splits are dealt out as they are read.
+    """
+    return rows.repartition(checked_parts(rows, parts))
+
+
 def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column which is worked out once per row.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hirespan.functions.scoring import round_half_up
 from hirespan.functions.text import let, normal_skills, skill_columns
-from hirespan.operators.skew import salted_join
 
 # Category of each known skill, and the order categories are shown in.
 SKILL_CATEGORIES = {
@@ -100,29 +99,24 @@ def skill_tree(
     )
 
 
-def pair_match(
-    pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, parts: int | None = None, floor: int = 0
-) -> DataFrame:
-    """Keyword match percentage for many ``(user_id, job_id)`` pairs.
+def pair_match(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, chunks: int = 16) -> DataFrame:
+    """Keyword match percentage for many ``(user_id, job_id)`` pairs, one row each.
 
-    ``profiles`` is ``user_id, skills`` and ``jobs`` is ``job_id, description_text``. Each distinct
-    (job, skill) is looked for once in the job's text however many users share it, and only
-    the hits travel back to the pairs.
+    ``profiles`` is ``user_id, skills`` and ``jobs`` is ``job_id, description_text``. The distinct skills asked of
+    a job are gathered first and looked for in its text once, however many users share them, in at most
+    ``chunks`` rows a job; only those found are joined back to the pairs. A user or a job with very many pairs
+    meets one row in either join, which Spark splits.
     """
     normal = profiles.select("user_id", normal_skills(F.col("skills")).alias("_skills"))
-    wanted = salted_join(pairs, normal, ["user_id"], ["job_id"], "left", parts=parts, floor=floor)
-    exploded = wanted.select("user_id", "job_id", F.explode_outer("_skills").alias("skill"))
-    lookups = exploded.where("skill is not null").select("job_id", "skill").distinct()
+    wanted = pairs.select("user_id", "job_id").join(normal, "user_id", "left")
+    asked = wanted.select("job_id", F.explode("_skills").alias("skill"))
+    asked = asked.groupBy("job_id", F.pmod(F.xxhash64("skill"), F.lit(chunks)).alias("chunk")).agg(F.collect_set("skill").alias("_asked"))
     texts = jobs.select("job_id", F.lower("description_text").alias("_text"))
-    hits = (
-        salted_join(lookups, texts, ["job_id"], ["skill"], parts=parts, floor=floor)
-        .where(F.contains(F.col("_text"), F.col("skill")))
-        .select("job_id", "skill", F.lit(1).alias("hit"))
-    )
-    counted = (
-        salted_join(exploded, hits, ["job_id", "skill"], ["user_id"], "left", parts=parts, floor=floor)
-        .groupBy("user_id", "job_id")
-        .agg(F.count("skill").alias("_skills"), F.count("hit").alias("_hits"))
-    )
-    share = F.floor(F.col("_hits") / F.greatest(F.col("_skills"), F.lit(1)) * 100.0 + 0.5).cast("int")
-    return counted.select("user_id", "job_id", share.alias("match_percentage"))
+    found = F.filter("_asked", lambda skill: F.contains(F.col("_text"), skill))
+    hits = asked.join(texts, "job_id").select("job_id", found.alias("_found")).where(F.size("_found") > 0)
+    hits = hits.groupBy("job_id").agg(F.flatten(F.collect_list("_found")).alias("_found"))
+    none = F.array().cast("array<string>")
+    total = F.size(F.coalesce("_skills", none))
+    matched = F.size(F.array_intersect(F.coalesce("_skills", none), F.coalesce("_found", none)))
+    share = F.floor(matched / F.greatest(total, F.lit(1)) * 100.0 + 0.5).cast("int")
+    return wanted.join(hits, "job_id", "left").select("user_id", "job_id", share.alias("match_percentage"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hirespan.functions import records, text
 from hirespan.operators import feed, skills
+from hirespan.operators.skew import spread
 from hirespan.plans.registry import query
 
 # White space of every kind, as the SQL side writes it.
@@ -33,7 +34,8 @@ def _quoted(word: str) -> str:
 
 
 def _skills(load, **options):
-    found = skills.requirement_profiles(load("v_text_jobs"), **options)
+    # The given files are a single row group each.
+    found = skills.requirement_profiles(spread(load("v_text_jobs").select("job_id", "description_text")), **options)
     return found.select(
         "job_id",
         F.array_join("required_skills", ",").alias("required_skills"),
@@ -226,7 +228,7 @@ SCORE = "cast(floor(o_totalprice) as bigint) % 140"
 
 
 def _responses(load, body):
-    orders = load("orders")
+    orders = spread(load("orders"))
     score = F.expr(SCORE)
     numbered = orders.withColumn("score", score)
     whole = F.to_json(body)

@@ -60,7 +60,7 @@ def test_pair_match_equals_direct_form(spark):
     profiles = spark.createDataFrame([(1, ["Go", "rust", "go"]), (2, ["sql"]), (3, None)], "user_id int, skills array<string>")
     jobs = spark.createDataFrame([(10, "Golang and SQL"), (11, "nothing")], "job_id int, description_text string")
     pairs = spark.createDataFrame([(u, j) for u in (1, 2, 3) for j in (10, 11)], "user_id int, job_id int")
-    for options in ({}, {"parts": 8, "floor": 0}):
+    for options in ({}, {"chunks": 1}):
         found = {(r.user_id, r.job_id): r.match_percentage for r in pair_match(pairs, profiles, jobs, **options).collect()}
         assert found == {(1, 10): 50, (1, 11): 0, (2, 10): 100, (2, 11): 0, (3, 10): 0, (3, 11): 0}
 
