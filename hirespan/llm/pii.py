@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirespan.llm.tables import set_aside
+
 from hirespan.llm.quality import once
 
 # In the order in which kinds at one start are listed.
@@ -175,7 +177,8 @@ def _shown(kind: str):
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``found``: an array of (start, rank, end, kind, score) by start, then kind."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    step, arrays = docs.drop("found"), {}
+    step, back = set_aside(docs.drop("found"), {f"_{kind}_{n}" for kind in KINDS for n in "mpe"})
+    arrays = {}
     parts = {kind: split_up(kind, plain) for kind in KINDS}
     step = once(step, **{f"_{k}_{n}": c for k, both in parts.items() for n, c in zip("mp", both, strict=True)})
     for kind in KINDS:
@@ -190,7 +193,7 @@ def found(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = [_scored(kind, rank) for rank, kind in enumerate(KINDS)]
     nothing = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
     step = once(step, found=F.sort_array(F.concat(*[F.coalesce(s, nothing) for s in spans])))
-    return step.drop(*[f"_{kind}_{n}" for kind in KINDS for n in "mpe"])
+    return step.drop(*[f"_{kind}_{n}" for kind in KINDS for n in "mpe"]).withColumnsRenamed(back)
 
 
 def listed(spans: Column) -> Column:
@@ -215,7 +218,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     Kinds are replaced one after the other; phones a second time, as a number behind them may be gone by then.
     A text without any stays as it is, a null one null.
     """
-    step = docs
+    step, back = set_aside(docs, {"_m", "_p"})
     for kind in ("email", "phone", "ip", "card", "pan", "iban", "ssn", "phone"):
         matches, pieces = split_up(kind, F.col(text))
         step = once(step, _m=matches, _p=pieces)
@@ -223,4 +226,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             F.array_join(F.zip_with("_m", F.slice("_p", 1, F.size("_m")), _shown(kind)), ""), F.get("_p", F.size("_m"))
         )
         step = step.withColumn(text, F.when(F.size("_m") == 0, F.col(text)).otherwise(joined)).drop("_m", "_p")
-    return step.select(*docs.columns)
+    return step.withColumnsRenamed(back).select(*docs.columns)

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirespan.llm.tables import set_aside
+
 SPACE = "\\x20\\x09-\\x0D"
 # Frequent function words of the four languages, lower case.
 STOP_WORDS = (
@@ -70,7 +72,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     equal hashes has its (hash, position) pairs sorted, as one long each; each position kept then adds the words that the
     one before it does not cover yet.
     """
-    docs = docs.drop(*COUNTS)
+    docs, back = set_aside(docs.drop(*COUNTS), {"_words", "_lines", "_windows", "_bits", "_low", "_pairs", "_found"})
     plain = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(plain, f"[{SPACE}]+"), "")
     lines = F.filter(F.split(plain, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
@@ -117,7 +119,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     step = once(step, _found=places).drop("_pairs", "_windows", "_low", "_bits")
     new = F.transform("_found", lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get(F.col("_found"), j - 1), F.lit(-3))))
     covered = F.aggregate(new, F.lit(0).cast("long"), lambda total, x: total + x)
-    return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_found")
+    step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_found")
+    return step.withColumnsRenamed(back)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

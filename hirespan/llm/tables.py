@@ -53,3 +53,9 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what Spark hands to a Python worker at once, in rows and in bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that bear one of the inner ``names`` renamed, and how to rename them back."""
+    moved = {c: f"{c} of the input" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(moved), {new: old for old, new in moved.items()}

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hirespan.llm import neardup, pii, quality, tokens
+from hirespan.llm import compression, neardup, pii, quality, tokens, urlfilter
 from hirespan.llm.oracles import ORACLES
 from hirespan.llm.queries import QUERIES, TOKENIZER
 
@@ -237,3 +237,59 @@ def test_pipeline(spark, folder, ids):
     for doc in kept - {32}:
         pieces = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start)
         assert sum(r.length for r in pieces) == len(ids[doc])
+
+
+def test_columns_named_like_inner_ones(spark):
+    names = ["_words", "_FOUND", "_email_m", "_card_e", "_m", "_p"]
+    docs = spark.createDataFrame([(1, f"mail me@site.org {CARD}", *names)], ["doc_id", "text", *names])
+    for out in (quality.judged(docs), pii.found(docs), pii.redacted(docs)):
+        row = out.first()
+        assert [row[n] for n in names] == names
+    assert pii.redacted(docs).first().text == "mail [EMAIL] [CARD]"
+
+
+def test_quality_learns_what_labels_mark(spark):
+    """Held-out labels are ranked far better than by chance; one label only gives its share."""
+    folder = "/root/testdata/sf0.1"
+    rows = QUERIES["op6_compression_quality"](spark, folder).where("held_out").select("doc_id", "score")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = [(r.score, r.quality) for r in rows.join(labels, "doc_id").collect()]
+    good, bad = ([s for s, q in found if q == k] for k in (1, 0))
+    wins = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert len(good) > 50 and len(bad) > 50 and wins / len(good) / len(bad) > 0.95
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    model = compression.fitted(docs, spark.createDataFrame([(1, 1), (1, None)], "doc_id long, label int"))
+    assert [r.score for r in compression.scored(docs, model).collect()] == [1.0, 1.0]
+
+
+def test_texts_for_a_dictionary_are_whole(spark, monkeypatch):
+    """A text that does not fit the bound is left out, not cut."""
+    monkeypatch.setattr(compression, "BYTES", 100)
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} {i} " * (i + 1)) for i in range(24)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 label")
+    used = []
+    monkeypatch.setattr(compression, "_dictionary", lambda texts: used.append(texts) or b"".join(texts))
+    compression.fitted(docs, labels)
+    whole = {r.text.encode() for r in docs.collect()}
+    assert len(used) == 2 and all(0 < sum(map(len, texts)) <= 100 and set(texts) <= whole for texts in used)
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.B.net/x/y"), (2, "http://b.net"), (3, "http://xb.net/x/")], "page_id long, url string")
+    rules = [("B.net/", "block"), ("b.net/x/", "allow"), ("b.net/x/", "block"), ("a.b.net/x/y", "allow")]
+    found = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judged(pages, rules).collect()}
+    assert found == {1: ("a.b.net/x/y", "allow"), 2: (None, "allow"), 3: (None, "allow")}
+    assert {r.verdict for r in urlfilter.judged(pages, [("net/", "block")]).where("page_id <> 2").collect()} == {"block"}
+    with pytest.raises(ValueError, match="slash"):
+        urlfilter.judged(pages, [("b.net", "block")])
+
+
+def test_url_rules_of_equal_digests(spark, monkeypatch, tmp_path):
+    """With a hash that is the same for all, the stored strings decide."""
+    monkeypatch.setattr(urlfilter, "key", lambda text: 7)
+    path = tmp_path / "rules"
+    path.write_bytes(urlfilter.store([("a.org/", "block"), ("b.org/p", "allow"), ("org/", "block")]))
+    rules = urlfilter.Rules(str(path))
+    assert rules.judge(["a.org", "b.org", "c.org", "d.com"], ["/x", "/pq", "/", "/"]) == [
+        ("a.org/", "block"), ("b.org/p", "allow"), ("org/", "block"), (None, "allow"),
+    ]
