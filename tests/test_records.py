@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from hirespan.functions import records
 
 
@@ -16,23 +14,34 @@ def test_analyses(spark):
         "section_scores": {"skills": 55.9, "odd": "x", "low": -3},
         "bullet_feedback": [{"original": "o", "score": 12}, {}],
         "recruiter_take": [{"section": "s", "grade": "A", "red_flags": ["r"]}],
-        "ats_parsed_sections": {"name": "N", "skills": ["x"]},
+        "ats_parsed_sections": {"name": "N", "skills": ["x", None, {"y": 1}, 2], "when": {"from": 1}, "none": None, "years": 3, "empty": []},
         "summary_verdict": None,
     }
     read, bad = records.parse_analyses(responses(spark, full, "```json\n{}\n```", "", None, '{"overall_score": 9', {"overall_score": True}))
-    rows = {r.id: r for r in read.withColumn("parsed", F.to_json("ats_parsed_sections")).drop("ats_parsed_sections").collect()}
+    rows = {r.id: r for r in read.collect()}
     first = rows[0]
     assert (first.overall_score, first.ats_score, first.ats_issues) == (72, 100, ["a", "null", "3", "", "", "[b] c"])
     assert first.strengths == [] and first.section_scores == {"skills": 55, "odd": 50, "low": 0}
     assert [tuple(b) for b in first.bullet_feedback] == [("o", 12, "", ""), ("", 50, "", "")]
     assert [tuple(t) for t in first.recruiter_take] == [("s", "A", "", ["r"])]
-    assert first.summary_verdict == "Analysis complete." and json.loads(first.parsed) == {"name": "N", "skills": ["x"]}
+    assert first.summary_verdict == "Analysis complete."
+    assert {name: tuple(value) for name, value in first.ats_parsed_sections.items()} == {
+        "name": ("N", None), "skills": (None, ["x", "null", "", "2"]), "when": ("", None), "none": ("", None),
+        "years": ("3", None), "empty": (None, []),
+    }
+    assert rows[1].ats_parsed_sections is None
     for number in (1, 2, 3):
         assert (rows[number].overall_score, rows[number].ats_score, rows[number].bullet_feedback) == (50, 50, [])
     assert rows[5].overall_score == 1
     assert [(r.id, r.reason) for r in bad.collect()] == [(4, "unreadable response")]
 
 
+def test_sections_and_verdicts_of_odd_shapes(spark):
+    odd = [{"ats_parsed_sections": shape, "summary_verdict": verdict} for shape, verdict in [([1], ["x"]), ("text", {"a": 1}), (None, "[as it is]"), ({}, 7)]]
+    found = records.parse_analyses(responses(spark, *odd))[0].orderBy("id").collect()
+    assert [(r.ats_parsed_sections, r.summary_verdict) for r in found] == [(None, ""), (None, ""), (None, "[as it is]"), ({}, "7")]
+
+
 def test_fits(spark):
     read, bad = records.parse_fits(responses(spark, {"fit_score": -4, "matched_skills": ["go"]}, "not json"))
     row = read.first()

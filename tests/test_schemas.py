@@ -4,7 +4,7 @@ from hirespan import schemas
 from hirespan.operators.tables import JOB_COLUMNS
 
 
-def test_every_schema_is_readable():
+def test_every_schema_is_readable(spark):
     for table in schemas.TABLES:
         names = schemas.schema_of(table).names
         assert len(names) == len(set(names)) and set(schemas.KEYS.get(table, [])) <= set(names)

@@ -250,7 +250,6 @@ def test_registered_streams_for_any_number_of_files(spark, files):
     connection, load = oracle_connection(folder), tables(spark, folder)
     for name, build in [
         ("new_posting_feed_st1", streams.new_posting_feed), ("rolling_feed_st3_o7", streams.rolling_feed),
-        ("attempts_over_limit_stream_st5", streams.attempts_over_limit_stream), ("score_on_arrival_st6", streams.score_on_arrival),
-        ("parse_on_upload_st4", streams.parse_on_upload),
+        ("attempts_over_limit_stream_st5", streams.attempts_over_limit_stream),
     ]:
         assert [d for d in differences(build(load, files=files), connection, ORACLES[name]) if d != "no rows"] == [], name
