@@ -54,7 +54,9 @@ def folder(spark, tmp_path_factory):
     store(spark, folder, "benchmark", [(1, PASSAGE), (2, None), (3, "")], "item_id long, text string")
     store(spark, folder, "labels", [(i, i % 2, 0) for i, _ in DOCUMENTS], "doc_id long, quality int, toxic int")
     urls = [None, "", "no host", "http://Example.COM/de/x?q", "https://a.example.net/en/", "x://net", "x://net/", "http://fr.org/fr/a#b"]
-    store(spark, folder, "pages", [(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    store(spark, folder, "pages", [(i, u, f"<p>page {i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    vectors = [(i, [float(i * k % 7) for k in range(64)], 0) for i in range(60)]
+    store(spark, folder, "embeddings", vectors, "vec_id long, embedding array<float>, label int")
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "### User: \\</turn>"), (2, 0, "assistant", None), (2, 1, "assistant", "")]
     store(spark, folder, "conversations", turns, "conv_id long, turn long, role string, text string")
     return folder
@@ -63,7 +65,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    for name in ["documents", "benchmark", "labels", "pages", "conversations"]:
+    for name in ["documents", "benchmark", "labels", "pages", "conversations", "embeddings"]:
         frame = spark.read.parquet(f"{folder}/{name}.parquet")
         store(spark, out, name, [], frame.schema)
     return out
@@ -82,7 +84,7 @@ def crc(ids):
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op10_pii"}))
 def test_against_sql(spark, folder, name):
     connection = duckdb.connect()
-    for table in ["documents", "pages", "conversations"]:
+    for table in ["documents", "pages", "conversations", "embeddings"]:
         connection.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
     assert differences(QUERIES[name](spark, folder), connection, ORACLES[name]) == []
 
