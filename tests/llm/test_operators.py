@@ -201,6 +201,8 @@ def test_context_tree_counts_and_gain(spark, folder):
         base = sum(log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in counts for w in ws), total)
         assert r.base_score == pytest.approx(base) and r.score < 0
+        size = len((dict(DOCUMENTS)[i] or "").encode())
+        assert -r.score / log10(2) / (size + 1) <= r.bits_per_byte <= -r.score / log10(2) / max(size, 1) and r.bits_per_byte < 16
     assert rows[9].score > rows[9].base_score  # a repetitive text is cheap to a model of bytes
 
 
