@@ -34,32 +34,36 @@ def application_list(
     parts: int | None = None,
     floor: int = 0,
 ) -> DataFrame:
-    """Applications with job, resume and, if there is one, score columns."""
+    """Applications with job, resume and, if there is one, score columns.
+
+    The joins go from narrow to wide columns, so that the texts of a job are not shuffled along.
+    """
+    scored = applications.join(
+        scores.select("application_id", "match_score", "percentile", "applicant_count"), "application_id", "left"
+    )
+    named = scored.join(resumes.select("resume_id", resume_name().alias("resume_name")), "resume_id")
     with_job = salted_join(
-        applications,
+        named,
         jobs.select("job_id", F.col("title").alias("job_title"), "company"),
         ["job_id"],
         ["application_id"],
         parts=parts,
         floor=floor,
+        counted=applications,
     )
-    return (
-        with_job.join(resumes.select("resume_id", "label", "original_filename"), "resume_id")
-        .join(scores.select("application_id", "match_score", "percentile", "applicant_count"), "application_id", "left")
-        .select(
-            "application_id",
-            "user_id",
-            "job_id",
-            "job_title",
-            "company",
-            "status",
-            F.coalesce("match_score", F.lit(0)).alias("match_score"),
-            "percentile",
-            F.coalesce("applicant_count", F.lit(0).cast("long")).alias("applicant_count"),
-            "applied_at",
-            "resume_id",
-            resume_name().alias("resume_name"),
-        )
+    return with_job.select(
+        "application_id",
+        "user_id",
+        "job_id",
+        "job_title",
+        "company",
+        "status",
+        F.coalesce("match_score", F.lit(0)).alias("match_score"),
+        "percentile",
+        F.coalesce("applicant_count", F.lit(0).cast("long")).alias("applicant_count"),
+        "applied_at",
+        "resume_id",
+        "resume_name",
     )
 
 
@@ -176,7 +180,8 @@ def score_applications(
 ) -> DataFrame:
     """Match score and its four parts; null where a profile or requirement list is missing.
 
-    Skill lists are brought to normal form once per resume and job, before the joins.
+    Skill lists are brought to normal form once per resume and job, before the joins. Heavy jobs are counted in
+    the bare applications, and the wider candidate columns come in by the last join.
     """
     wanted = jobs.select(
         "job_id", "minimum_years_experience", F.col("education_level").alias("wanted_education")
@@ -198,14 +203,14 @@ def score_applications(
         F.lit(True).alias("_known"),
     )
     joined = salted_join(
-        applications.join(candidate, "resume_id", "left"),
+        applications,
         wanted,
         ["job_id"],
         ["application_id"],
         "left",
         parts=parts,
         floor=floor,
-    )
+    ).join(candidate, "resume_id", "left")
     scored = F.col("_known").isNotNull() & F.col("_wanted").isNotNull()
     parts_of_score = joined.withColumn("is_scored", scored).withColumns(
         {

@@ -117,7 +117,8 @@ def arrival_percentile(
         (F.get(highs, F.col("_high")) + F.get(lows, F.col("_low"))).alias("_le_in_slice"),
     )
     zero = F.lit(0).cast("long")
-    full = counted.join(_before_slice(rows), ["job_id", "slice", "match_score"], "left").select(
+    # Small whatever the data (see there), so the rows stay where the counting put them.
+    full = counted.join(F.broadcast(_before_slice(rows)), ["job_id", "slice", "match_score"], "left").select(
         *scores.columns,
         (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
         (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),

@@ -49,7 +49,7 @@ def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
 def heavy_keys(df: DataFrame, keys: list[str], parts: int, floor: int = 0) -> DataFrame:
     """Keys with more than ``total / parts`` rows (and more than ``floor``), with ``n_rows`` and ``n_total``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = counts.agg(F.sum("n_rows").alias("n")).scalar()
     return (
         counts.where(F.col("n_rows") > F.lit(floor))
         .where(F.col("n_rows") * F.lit(parts) > total)
@@ -65,14 +65,16 @@ def salted_join(
     how: str = "inner",
     parts: int | None = None,
     floor: int = 0,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` on ``on``, spreading heavy keys of ``fact`` over several tasks.
 
     Rows of a heavy key are dealt out by a hash of ``spread_by``; the matching ``dim`` rows are
-    repeated once per share, and only those. ``how`` is ``inner`` or ``left``.
+    repeated once per share, and only those. ``how`` is ``inner`` or ``left``. Where ``fact`` is costly, keys
+    may be ``counted`` in the rows it was made of; that places the shares only.
     """
     parts = checked_parts(fact, parts)
-    heavy = heavy_keys(fact, on, parts, floor).select(
+    heavy = heavy_keys(fact if counted is None else counted, on, parts, floor).select(
         *on, F.ceil(F.col("n_rows") * F.lit(parts) / F.col("n_total")).cast("int").alias("_shares")
     )
     left = fact.join(F.broadcast(heavy), on, "left").withColumn(

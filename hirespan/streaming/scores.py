@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hirespan.operators.applications import score_applications
 from hirespan.operators.percentile import arrival_percentile, with_arrival_state
 from hirespan.sources.buckets import Buckets
-from hirespan.sources.store import exists, write_version
+from hirespan.sources.store import drop_versions, exists, write_version
 
 # Applications of a day are one slice.
 SLICE = "yyyy-MM-dd"
@@ -51,7 +51,10 @@ def score_batch(
             totals.stage(spark.createDataFrame([], totals.schema), number)
             return
         later = stored.where((F.col("slice") >= earliest) & (F.col("batch") <= number))
-        later = later.join(since, "job_id").where("slice >= from_slice")
+        later = later.join(since, "job_id").where("slice >= from_slice").select(*FRESH, "batch", "since")
+        # Counted, cut into slices and ranked: written once, and gone when that is done.
+        write_version(later, f"{path}/later", number)
+        later = spark.read.schema(later.schema).parquet(f"{path}/later/v={number:012d}")
         before = totals.met_by(since)
         earlier = later.where(F.col("batch") < number).groupBy("job_id", "match_score").agg(F.count(F.lit(1)).alias("seen"))
         counts = before.join(earlier, ["job_id", "match_score"], "left").select(
@@ -61,6 +64,7 @@ def score_batch(
         write_version(ranked.withColumn("told_by", F.lit(number).cast("long")), f"{path}/ranked", number)
         added = fresh.groupBy("job_id", "match_score").agg(F.count(F.lit(1)).alias("n"))
         totals.stage(before.unionByName(added).groupBy("job_id", "match_score").agg(F.sum("n").alias("n")), number)
+        drop_versions(spark, f"{path}/later", before=number + 1)
 
     return handle
 
