@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from hirespan.functions.scoring import round_half_up
 from hirespan.functions.text import let, normal_skills, skill_columns
@@ -99,6 +103,17 @@ def skill_tree(
     )
 
 
+def _contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The skills of ``_asked`` that are somewhere in ``_text``; rows without one are left out."""
+    kind = pa.list_(pa.binary())
+    for batch in batches:
+        rows = zip(batch.column("_asked").to_pylist(), batch.column("_text").to_pylist(), strict=True)
+        found = [[skill for skill in asked if skill in text] for asked, text in rows]
+        some = [k for k, hit in enumerate(found) if hit]
+        ids = batch.column("job_id").take(pa.array(some, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([found[k] for k in some], kind)], ["job_id", "_found"])
+
+
 def pair_match(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, chunks: int = 16) -> DataFrame:
     """Keyword match percentage for many ``(user_id, job_id)`` pairs, one row each.
 
@@ -112,8 +127,12 @@ def pair_match(pairs: DataFrame, profiles: DataFrame, jobs: DataFrame, chunks: i
     asked = wanted.select("job_id", F.explode("_skills").alias("skill"))
     asked = asked.groupBy("job_id", F.pmod(F.xxhash64("skill"), F.lit(chunks)).alias("chunk")).agg(F.collect_set("skill").alias("_asked"))
     texts = jobs.select("job_id", F.lower("description_text").alias("_text"))
-    found = F.filter("_asked", lambda skill: F.contains(F.col("_text"), skill))
-    hits = asked.join(texts, "job_id").select("job_id", found.alias("_found")).where(F.size("_found") > 0)
+    # As bytes, which is what Spark's own search for substrings looks at.
+    texts = texts.where("_text is not null").select("job_id", F.col("_text").cast("binary").alias("_text"))
+    asked = asked.withColumn("_asked", F.transform("_asked", lambda skill: skill.cast("binary")))
+    both = asked.join(texts, "job_id").select("_asked", "_text", "job_id")
+    hits = both.mapInArrow(_contained, StructType([both.schema["job_id"]]).add("_found", ArrayType(BinaryType())))
+    hits = hits.withColumn("_found", F.transform("_found", lambda skill: skill.cast("string")))
     hits = hits.groupBy("job_id").agg(F.flatten(F.collect_list("_found")).alias("_found"))
     none = F.array().cast("array<string>")
     total = F.size(F.coalesce("_skills", none))
