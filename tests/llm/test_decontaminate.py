@@ -3,6 +3,7 @@
 import random
 from itertools import count
 
+import numpy as np
 import pytest
 
 from hirespan.llm import decontaminate
@@ -89,3 +90,26 @@ def test_blocks_of_items_and_small_products(spark, monkeypatch, items):
     docs = [(k, f"before {t} after " * (1 + k % 2)) for k, t in enumerate(texts)] + [(99, "before after")]
     benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in findings(spark.createDataFrame(docs, DOCS), benchmark).collect()) == [(k, k) for k in range(10)]
+
+
+@pytest.mark.parametrize("counted", [4096, 0])
+def test_directions_come_from_all_documents(spark, monkeypatch, counted):
+    monkeypatch.setattr(decontaminate, "COUNTED", counted)
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 90, n) for n in (0, 1, 9, 10, 11, 25, 300, *[40] * 60)]
+    place = np.full(decontaminate.CODES, -1)
+    place[:80:2] = np.arange(40)
+    weight = rng.random(decontaminate.CODES).astype(np.float32)
+    random = rng.standard_normal((40, 12)).astype(np.float32)
+    want = np.zeros((40, 40))
+    for doc in docs:
+        for first in range(0, len(doc), decontaminate.PASSAGE):
+            row = np.zeros(40)
+            for code in doc[first : first + decontaminate.PASSAGE]:
+                if place[code] >= 0:
+                    row[place[code]] += weight[code]
+            want += np.outer(row, row)
+    codes = spark.createDataFrame([(k, d.astype("<u2").tobytes()) for k, d in enumerate(docs)], "doc_id long, codes binary")
+    got = decontaminate.moments(codes.repartition(5), weight, place, random)
+    assert np.allclose(got, want @ random, rtol=1e-6)
+    assert decontaminate.directions(codes, weight, place).shape == (40, 40)
