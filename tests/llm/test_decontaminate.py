@@ -4,6 +4,7 @@ import random
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hirespan.llm import decontaminate
@@ -113,3 +114,47 @@ def test_directions_come_from_all_documents(spark, monkeypatch, counted):
     got = decontaminate.moments(codes.repartition(5), weight, place, random)
     assert np.allclose(got, want @ random, rtol=1e-6)
     assert decontaminate.directions(codes, weight, place).shape == (40, 40)
+
+
+def test_pairs_have_one_place_and_give_the_moments_of_all_passages(monkeypatch):
+    rng = np.random.default_rng(3)
+    size, rank = 90, 5
+    place = np.full(decontaminate.CODES, -1, np.int64)
+    own = np.sort(rng.choice(400, size, replace=False))
+    place[own] = np.arange(size)
+    weight = rng.random(decontaminate.CODES).astype(np.float32)
+    texts = [rng.integers(0, 400, n).astype("<u2") for n in (0, 1, 9, 10, 11, 537, 40)] + [own[:1].repeat(25).astype("<u2")]
+    random = rng.standard_normal((size, rank)).astype(np.float32)
+    want = np.zeros((size, rank))
+    for text in texts:
+        for k in range(0, len(text), decontaminate.PASSAGE):
+            row = np.bincount(place[text[k : k + decontaminate.PASSAGE]] + 1, minlength=size + 1)[1:] * weight[own]
+            want += row[:, None] * (row @ random)
+
+    class Frame:  # the one task of a small table
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_pydict({"codes": pa.array([t.tobytes() for t in texts], pa.binary())})
+            self.rows = [row for out in run(iter([batch])) for row in out.to_pylist()]
+            return self
+
+        groupBy = applyInArrow = select
+
+        def toLocalIterator(self):
+            return iter(self.rows)
+
+    for counted in (decontaminate.COUNTED, size - 1):
+        monkeypatch.setattr(decontaminate, "COUNTED", counted)
+        assert np.allclose(decontaminate.moments(Frame(), weight, place, random), want, rtol=1e-4, atol=1e-4)
+    rows = np.array([[5, 2, 9, 5, 9, 9, 9, 9, 9, 9]])  # 9: no code
+    assert sorted(np.concatenate(list(decontaminate.pairs_of(rows, 9))).tolist()) == [5 * 6 // 2 + 2] * 2 + [5 * 6 // 2 + 5]
+
+
+def test_no_subsequence_is_looked_for_where_words_are_missing(monkeypatch):
+    item = decontaminate.Item(1, list(range(8)), [6, 7])
+    assert item.covered([0, 1, 2, 9, 4, 5, 6, 7]) == 7 / 8
+    assert item.covered([0, 1, 2, 3, 4, 5, 6, 9]) == 7 / 8 and item.covered(list(range(7, -1, -1))) == 0.0
+    monkeypatch.setattr(decontaminate, "common", lambda *_: pytest.fail("looked for"))
+    assert item.covered([0, 1, 2, 3, 4, 9, 9, 9]) == 0.0
