@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hirespan.functions import scoring
 from hirespan.functions.text import normal_skills
-from hirespan.operators.skew import salted_join
+from hirespan.operators.percentile import percent_half_up, pools
+from hirespan.operators.skew import salted_join, with_value
 from hirespan.schemas import ALLOWED
 
 APPLICATION_STATUSES = ALLOWED["applications", "status"]
@@ -30,27 +31,44 @@ def application_list(
     applications: DataFrame,
     jobs: DataFrame,
     resumes: DataFrame,
-    scores: DataFrame,
+    scores: DataFrame | None = None,
     parts: int | None = None,
     floor: int = 0,
 ) -> DataFrame:
     """Applications with job, resume and, if there is one, score columns.
 
-    The joins go from narrow to wide columns, so that the texts of a job are not shuffled along.
+    The joins go from narrow to wide columns, so that the texts of a job are not shuffled along. Without ``scores``
+    applications bear their ``match_score`` and have ids of their own; the finished pool of a job then comes with the
+    job, and percentiles as of ``snapshot_percentile`` are looked up there without a join on applications.
     """
-    scored = applications.join(
-        scores.select("application_id", "match_score", "percentile", "applicant_count"), "application_id", "left"
-    )
+    about = jobs.select("job_id", F.col("title").alias("job_title"), "company")
+    if scores is not None:
+        scored = applications.join(
+            scores.select("application_id", "match_score", "percentile", "applicant_count"), "application_id", "left"
+        )
+    else:
+        scored = applications
+        about = about.join(pools(applications), "job_id", "left")
     named = scored.join(resumes.select("resume_id", resume_name().alias("resume_name")), "resume_id")
     with_job = salted_join(
         named,
-        jobs.select("job_id", F.col("title").alias("job_title"), "company"),
+        about,
         ["job_id"],
         ["application_id"],
         parts=parts,
         floor=floor,
         counted=applications,
     )
+    if scores is None:
+        # What has no id has no score, as in a join on it.
+        up_to = F.when(F.col("application_id").isNotNull(), F.try_element_at("pool", F.col("match_score")))
+        with_job = with_value(with_job, "n_up_to", up_to).withColumns(
+            {
+                "match_score": F.when(F.col("n_up_to").isNotNull(), F.col("match_score")),
+                "percentile": percent_half_up(F.col("n_up_to"), F.col("n_job")),
+                "applicant_count": F.when(F.col("n_up_to").isNotNull(), F.col("n_job")),
+            }
+        )
     return with_job.select(
         "application_id",
         "user_id",

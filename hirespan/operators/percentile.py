@@ -71,6 +71,17 @@ def _with_pool(scores: DataFrame) -> DataFrame:
     return scores.join(_cumulative(scores), ["job_id", "match_score"])
 
 
+def pools(scores: DataFrame) -> DataFrame:
+    """Per job: ``pool``, the rows up to each of its scores (at most 101 entries), and ``n_job``, its rows."""
+    entry = F.struct("match_score", "n_up_to")
+    known = F.col("match_score").isNotNull()
+    return (
+        _cumulative(scores)
+        .groupBy("job_id")
+        .agg(F.map_from_entries(F.collect_list(F.when(known, entry))).alias("pool"), F.max("n_job").alias("n_job"))
+    )
+
+
 def snapshot_percentile(scores: DataFrame) -> DataFrame:
     """Share of the job's finished pool with a score up to one's own, own row included."""
     return _with_pool(scores).select(

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hirespan.operators import applications, skew
+from hirespan.operators import applications, percentile, skew
 from hirespan.operators.skills import pair_match
 from hirespan.plans import bindings, candidates
 from hirespan.sources.buckets import Buckets
@@ -74,3 +74,27 @@ def test_pair_match_looks_once_and_as_spark_does(spark):
     assert {(r.user_id, r.job_id, r.match_percentage) for r in matched.collect() if r.match_percentage} == {(1, 10, 67)}
     assert matched.count() == 9
     assert "contains(" not in plan_of(matched).lower()
+
+
+def test_listing_needs_no_join_on_applications(load, spark):
+    got = candidates._listed(load)
+    joins = [line for line in plan_of(got).splitlines() if "Join" in line]
+    assert joins and not any("application_id" in line for line in joins)
+    rows, scores = bindings.applied(load)
+    want = applications.application_list(rows, load("v_jobs"), load("v_resumes"), percentile.snapshot_percentile(scores))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count()
+
+
+def test_listing_with_nulls_and_ids_that_meet(load, spark):
+    day = datetime.datetime(2000, 1, 1)
+    kind = "application_id long, user_id long, job_id long, resume_id long, status string, applied_at timestamp, match_score int"
+    rows = spark.createDataFrame(
+        [(1, 1, 1, 1, "APPLIED", day, 5), (None, None, 1, 2, "APPLIED", day, 9), (3, 3, 1, 3, "APPLIED", day, None), (4, 4, 2, 4, "APPLIED", day, None)],
+        kind,
+    )
+    plain = rows.drop("match_score")
+    scores = percentile.snapshot_percentile(rows)
+    got = applications.application_list(rows, load("v_jobs"), load("v_resumes"))
+    want = applications.application_list(plain, load("v_jobs"), load("v_resumes"), scores)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 4
