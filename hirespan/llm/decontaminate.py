@@ -233,7 +233,6 @@ def moments(codes: DataFrame, weight: np.ndarray, place: np.ndarray, random: np.
     size, rank = random.shape
     own = weight[place >= 0].astype(np.float64)
     scaled = random * own[:, None]
-    narrow = scaled.astype(np.float32)
 
     def products(rows: np.ndarray, total: np.ndarray) -> None:
         flat = rows.ravel()
@@ -242,7 +241,7 @@ def moments(codes: DataFrame, weight: np.ndarray, place: np.ndarray, random: np.
             return
         passage = at // PASSAGE
         firsts = np.flatnonzero(np.diff(passage, prepend=-1))
-        seen = np.add.reduceat(narrow[flat[at]], firsts, 0)
+        seen = np.add.reduceat(scaled[flat[at]], firsts, 0)
         which = np.cumsum(np.diff(passage, prepend=-1) > 0) - 1
         order = np.argsort(flat[at], kind="stable")
         there, starts = np.unique(flat[at][order], return_index=True)
