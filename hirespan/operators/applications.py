@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirespan.functions import scoring
-from hirespan.functions.text import normal_skills
+from hirespan.functions.text import (
+    escaped, normal_skills, packed_skills, packed_texts, unescaped, unpacked_skills, unpacked_texts,
+)
 from hirespan.operators.percentile import percent_half_up, pools
 from hirespan.operators.skew import salted_join, with_value
 from hirespan.schemas import ALLOWED
@@ -195,24 +197,28 @@ def score_applications(
     jobs: DataFrame,
     parts: int | None = None,
     floor: int = 0,
+    shares: DataFrame | None = None,
 ) -> DataFrame:
     """Match score and its four parts; null where a profile or requirement list is missing.
 
-    Skill lists are brought to normal form once per resume and job, before the joins. Heavy jobs are counted in
-    the bare applications, and the wider candidate columns come in by the last join.
+    Skill lists are brought to normal form once per resume and job, before the joins; texts of a job are packed for
+    the way to the resume. Heavy jobs are counted in the bare applications, and the wider candidate columns come in
+    by the last join. ``shares`` is as in ``salted_join``; applications then bear ``_salt`` and may lack an id.
     """
     wanted = jobs.select(
         "job_id", "minimum_years_experience", F.col("education_level").alias("wanted_education")
     ).join(
         requirements.select(
             "job_id",
-            scoring.wanted_skills(F.col("required_skills")).alias("_required"),
-            scoring.wanted_skills(F.col("preferred_skills")).alias("_preferred"),
+            packed_skills(scoring.wanted_skills(F.col("required_skills"))).alias("_required"),
+            packed_skills(scoring.wanted_skills(F.col("preferred_skills"))).alias("_preferred"),
             F.lit(True).alias("_wanted"),
         ),
         "job_id",
         "left",
     )
+    texts = packed_texts(F.col("_required"), F.col("_preferred"), escaped(F.col("wanted_education")))
+    wanted = wanted.select("job_id", "minimum_years_experience", "_wanted", texts.alias("_texts"))
     candidate = profiles.select(
         "resume_id",
         normal_skills(F.col("skills")).alias("_skills"),
@@ -228,7 +234,15 @@ def score_applications(
         "left",
         parts=parts,
         floor=floor,
+        shares=shares,
     ).join(candidate, "resume_id", "left")
+    joined = joined.withColumn("_texts", unpacked_texts(F.col("_texts"))).withColumns(
+        {
+            "_required": unpacked_skills(F.get("_texts", F.lit(0))),
+            "_preferred": unpacked_skills(F.get("_texts", F.lit(1))),
+            "wanted_education": unescaped(F.get("_texts", F.lit(2))),
+        }
+    )
     scored = F.col("_known").isNotNull() & F.col("_wanted").isNotNull()
     parts_of_score = joined.withColumn("is_scored", scored).withColumns(
         {
@@ -245,7 +259,7 @@ def score_applications(
     names = ["required_coverage", "preferred_coverage", "experience_alignment", "education_alignment"]
     score = scoring.match_score(*[F.col(name) for name in names])
     return parts_of_score.select(
-        *applications.columns, "is_scored", *names, F.when(F.col("is_scored"), score).alias("match_score")
+        *[c for c in applications.columns if c != "_salt"], "is_scored", *names, F.when(F.col("is_scored"), score).alias("match_score")
     )
 
 

@@ -95,22 +95,26 @@ def snapshot_percentile(scores: DataFrame) -> DataFrame:
 
 
 def arrival_percentile(
-    scores: DataFrame, parts: int | None = None, floor: int = 0, keep_counts: bool = False
+    scores: DataFrame, parts: int | None = None, floor: int = 0, keep_counts: bool = False, tie: str = "application_id"
 ) -> DataFrame:
     """What each applicant was told on arrival.
 
     ``applicant_count`` counts the applicant and all earlier ones; the percentile compares with
     earlier ones only and is null for the first four. Heavy jobs are cut into time slices; the
     counts of earlier slices come from a table of at most 101 rows per slice. ``keep_counts``
-    gives the bare counts ``_n`` (earlier rows) and ``_le`` (those with a score up to one's own).
+    gives the bare counts ``_n`` (earlier rows) and ``_le`` (those with a score up to one's own). ``tie``
+    orders the rows of a job that have the same time.
     """
-    order = ["scored_at", "application_id"]
+    order = ["scored_at", tie]
+    sliced = with_order_slices(scores, "job_id", order, parts, floor)
+    group = ["job_id", "slice"]
+    # The digits are worked out where the rows are counted and not moved along.
     rows = (
-        with_order_slices(scores, "job_id", order, parts, floor)
+        sliced.drop("is_sliced")
+        .repartition(*group)
         .withColumn("_high", F.floor(F.col("match_score") / BASE).cast("int"))
         .withColumn("_low", F.pmod("match_score", F.lit(BASE)))
     )
-    group = ["job_id", "slice"]
     earlier = (
         Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -129,7 +133,7 @@ def arrival_percentile(
     )
     zero = F.lit(0).cast("long")
     # Small whatever the data (see there), so the rows stay where the counting put them.
-    full = counted.join(F.broadcast(_before_slice(rows)), ["job_id", "slice", "match_score"], "left").select(
+    full = counted.join(F.broadcast(_before_slice(sliced)), ["job_id", "slice", "match_score"], "left").select(
         *scores.columns,
         (F.col("_n_in_slice") + F.coalesce("_n_before", zero)).alias("_n"),
         (F.col("_le_in_slice") + F.coalesce("_le_before", zero)).alias("_le"),

@@ -49,7 +49,8 @@ def with_value(df: DataFrame, name: str, value: Column) -> DataFrame:
 def heavy_keys(df: DataFrame, keys: list[str], parts: int, floor: int = 0) -> DataFrame:
     """Keys with more than ``total / parts`` rows (and more than ``floor``), with ``n_rows`` and ``n_total``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("n")).scalar()
+    # Counted in the rows: summed up from the counts per key, these would be shuffled a second time.
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         counts.where(F.col("n_rows") > F.lit(floor))
         .where(F.col("n_rows") * F.lit(parts) > total)
@@ -57,6 +58,21 @@ def heavy_keys(df: DataFrame, keys: list[str], parts: int, floor: int = 0) -> Da
     )
 
 
+def shares_of(counted: DataFrame, on: list[str], parts: int | None = None, floor: int = 0) -> DataFrame:
+    """Keys that are heavy in ``counted``, and over how many ``_shares`` their rows are dealt."""
+    parts = checked_parts(counted, parts)
+    return heavy_keys(counted, on, parts, floor).select(
+        *on, F.ceil(F.col("n_rows") * F.lit(parts) / F.col("n_total")).cast("int").alias("_shares")
+    )
+
+
+def with_salt(rows: DataFrame, shares: DataFrame, on: list[str], spread_by: list[str]) -> DataFrame:
+    """Add ``_salt``, the share of its key that a row belongs to by a hash of ``spread_by``."""
+    share = F.pmod(F.xxhash64(*spread_by), F.col("_shares")).cast("int")
+    salt = F.when(F.col("_shares").isNull(), F.lit(0)).otherwise(share)
+    return rows.join(F.broadcast(shares), on, "left").withColumn("_salt", salt).drop("_shares")
+
+
 def salted_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -66,29 +82,25 @@ def salted_join(
     parts: int | None = None,
     floor: int = 0,
     counted: DataFrame | None = None,
+    shares: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` on ``on``, spreading heavy keys of ``fact`` over several tasks.
 
     Rows of a heavy key are dealt out by a hash of ``spread_by``; the matching ``dim`` rows are
     repeated once per share, and only those. ``how`` is ``inner`` or ``left``. Where ``fact`` is costly, keys
-    may be ``counted`` in the rows it was made of; that places the shares only.
+    may be ``counted`` in the rows it was made of; that places the shares only. With ``shares``, ``fact`` bears the
+    ``_salt`` it got for these, and if it lies by key and salt already it is not shuffled.
     """
-    parts = checked_parts(fact, parts)
-    heavy = heavy_keys(fact if counted is None else counted, on, parts, floor).select(
-        *on, F.ceil(F.col("n_rows") * F.lit(parts) / F.col("n_total")).cast("int").alias("_shares")
-    )
-    left = fact.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt",
-        F.when(F.col("_shares").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread_by), F.col("_shares")).cast("int")
-        ),
-    )
+    left = fact
+    if shares is None:
+        shares = shares_of(fact if counted is None else counted, on, parts, floor)
+        left = with_salt(fact, shares, on, spread_by)
     right = (
-        dim.join(F.broadcast(heavy), on, "left")
+        dim.join(F.broadcast(shares), on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)))
         .drop("_shares")
     )
-    return left.drop("_shares").join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def position_in(bounds: Column, key: Column, max_doublings: int = 20) -> Column:

@@ -5,9 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from hirespan.functions import text
 from hirespan.operators import applications, percentile, skew
 from hirespan.operators.skills import pair_match
-from hirespan.plans import bindings, candidates
+from hirespan.plans import bindings, candidates, streams
 from hirespan.sources.buckets import Buckets
 from hirespan.sources.store import versions
 
@@ -98,3 +99,73 @@ def test_listing_with_nulls_and_ids_that_meet(load, spark):
     got = applications.application_list(rows, load("v_jobs"), load("v_resumes"))
     want = applications.application_list(plain, load("v_jobs"), load("v_resumes"), scores)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 4
+
+
+@pytest.fixture
+def hot_load(load, spark, tmp_path):
+    """The same with most lines of one job, parts that come twice, and keys that are null."""
+    lines, day = load("lineitem"), datetime.datetime(2000, 1, 1)
+    hot = spark.createDataFrame([(k % 40, 3, 2, 1.0, day) for k in range(400)], lines.schema)
+    lines.unionByName(hot).write.parquet(f"{tmp_path}/hot/lineitem.parquet")
+    parts = load("part")
+    twice = parts.where("p_partkey in (3, 5)").withColumn("p_size", F.col("p_size") + 2)
+    parts.unionByName(twice).write.parquet(f"{tmp_path}/hot/part.parquet")
+    orders = load("orders")
+    nameless = orders.where("o_orderkey = 1").withColumn("o_custkey", F.lit(None).cast("long"))
+    orders.unionByName(nameless).write.parquet(f"{tmp_path}/hot/orders.parquet")
+    load("nation").write.parquet(f"{tmp_path}/hot/nation.parquet")
+    return bindings.tables(spark, f"{tmp_path}/hot")
+
+
+def test_scores_group_lines_by_the_partitions_of_their_job(hot_load, spark, monkeypatch):
+    monkeypatch.setattr(candidates, "written", lambda *_: pytest.fail("written before it is scored"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = candidates.match_scores(hot_load)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in moved if "user_id#" in line or "custkey#" in line]
+    # Lines go to their job once; the other side of the join goes there too.
+    assert sorted(line.split("), ")[1].split(",")[0] for line in moved if "_salt#" in line) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_COL"]
+
+
+@pytest.mark.parametrize("which", ["load", "hot_load"])
+def test_scores_agree_with_those_of_the_view(request, which):
+    tables = request.getfixturevalue(which)
+    _, shares = bindings.dealt_applications(tables)
+    assert [r.job_id for r in shares.collect()] == ([3] if which == "hot_load" else [])
+    plain = tables("v_profiles").withColumn("skills", F.split("skills_text", ","))
+    whole = applications.score_applications(tables("v_applications"), plain, *candidates._score_sides(tables)[1:])
+    got = candidates.match_scores(tables)
+    assert got.schema.simpleString() == whole.select(*got.columns).schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.select(*got.columns).collect())) and got.count()
+    known = whole.where("is_scored").withColumn("scored_at", F.col("applied_at"))
+    want = percentile.arrival_percentile(known.select("application_id", "user_id", "job_id", "match_score", "scored_at"))
+    told = streams.score_recompute(tables)
+    assert told.schema.simpleString() == want.schema.simpleString()
+    if which == "load":  # ids there are unique, so the order of arrival is
+        assert sorted(map(repr, told.collect())) == sorted(map(repr, want.collect()))
+    assert told.count() == want.count() > 0
+
+
+def test_total_is_counted_without_a_shuffle_by_key(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(9)] + [(2, 1)], "job_id int, id int")
+    heavy = skew.heavy_keys(rows, ["job_id"], 2)
+    assert [tuple(r) for r in heavy.collect()] == [(1, 9, 10)]
+    assert plan_of(heavy).count("Aggregate [job_id") == 1
+    assert skew.heavy_keys(rows.where("id > 99"), ["job_id"], 2).count() == 0
+
+
+def test_packed_texts_come_back(spark):
+    lists = [None, [], ["a"], ["a|b", "%7C", "~", "%", "%25~", "é c"], ["%257E"]]
+    plain = [None, "", "%", "~|%7E", "MASTERS "]
+    rows = spark.createDataFrame(list(zip(lists, plain, reversed(lists))), "a array<string>, t string, b array<string>")
+    packed = text.packed_texts(text.packed_skills(F.col("a")), text.escaped(F.col("t")), text.packed_skills(F.col("b")))
+    parts = rows.withColumn("p", text.unpacked_texts(packed))
+    back = parts.select(
+        text.unpacked_skills(F.get("p", F.lit(0))).alias("a"),
+        text.unescaped(F.get("p", F.lit(1))).alias("t"),
+        text.unpacked_skills(F.get("p", F.lit(2))).alias("b"),
+    )
+    assert [tuple(r) for r in back.collect()] == list(zip(lists, plain, reversed(lists)))
