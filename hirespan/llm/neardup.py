@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from hirespan.llm import tokens, words
 from hirespan.llm.components import components, merged
-from hirespan.llm.tables import small_batches, written
+from hirespan.llm.tables import frugal, small_batches, written
 
 CHUNKS, SYMBOLS = 16, 7
 WIDTH = 2
@@ -70,6 +70,7 @@ def _per_text(
     names = [part.split()[0] for part in schema.split(", ")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.without_encoder()
         for batch in batches:
             for some in tokens.parts_of(batch, "text"):
                 rows = [row(s) for s in words.shingle_sets(some.column("text"), width)]
@@ -77,7 +78,7 @@ def _per_text(
                 yield pa.RecordBatch.from_pydict({name: some.column("doc_id"), **columns})
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -100,7 +101,7 @@ def entered(classes: DataFrame) -> DataFrame:
                 reps = np.repeat(batch.column("rep").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_pydict({"key": keys.ravel().view(np.int64), "rep": reps})
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(frugal(run), "key long, rep long")
 
 
 def _both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,7 +123,7 @@ def close(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
 
     both = _both(pairs, classes, ["n", "sig"])
     both = both.where(100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def sets_of(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -155,7 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     both = _both(pairs, sets, ["shingles"])
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _crossing(sets: list[np.ndarray], sigs: np.ndarray, places: np.ndarray, split: int, share: int) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from hirespan.llm import tokens
-from hirespan.llm.tables import small_batches
+from hirespan.llm.tables import frugal, small_batches
 
 WINDOW = 1024
 BLOCK = 1_000_000
@@ -175,4 +175,4 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             yield _block(doc_ids, np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(sizes))), number)[0]
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(frugal(run), SCHEMA)
