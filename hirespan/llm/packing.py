@@ -132,7 +132,7 @@ def _block(doc_ids: list, ids: np.ndarray, bounds: np.ndarray, first: int) -> tu
             rows.append((k, int(full[k]) * WINDOW + start, length, number, offset))
             offset += length
         number += 1
-    raw = memoryview(ids.tobytes())
+    raw = ids.tobytes()  # its parts are copied: Arrow never lets go of a memoryview it took values from
     at = bounds.tolist()
     columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
     cut = [raw[4 * (at[k] + s) : 4 * (at[k] + s + n)] for k, s, n in zip(*columns[:3], strict=True)]

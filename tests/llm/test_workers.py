@@ -1,5 +1,8 @@
 """What Python workers are sent, and what they keep when a task of one operator ends and another's begins."""
 
+import gc
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -72,3 +75,18 @@ def test_search_sends_no_rows_for_codes_outside_the_benchmark(monkeypatch):
 def test_memory_goes_back_to_the_system():
     tables.give_back()  # also where nothing is held
     assert list(tables.frugal(iter)([1, 2])) == [1, 2]
+
+
+def test_packing_keeps_no_ids_of_blocks_that_are_out():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [f"word{k} other " * 500 for k in range(200)]})
+    frame = packing.packed(Taken(), PATH)
+    list(frame.run(iter([TEXTS])))  # loads the tokenizer
+    tracemalloc.start()
+    try:
+        held = sum(sum(map(len, part.column("ids").to_pylist())) for part in frame.run(iter([batch])))
+        gc.collect()
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held > 1 << 20
+    assert kept < held / 4
