@@ -5,12 +5,13 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hirespan.functions import text
+from hirespan.functions import ages, text
 from hirespan.operators import applications, percentile, skew
 from hirespan.operators.skills import pair_match
 from hirespan.plans import bindings, candidates, streams
 from hirespan.sources.buckets import Buckets
 from hirespan.sources.store import versions
+from hirespan.streaming import ingest
 
 
 @pytest.fixture
@@ -169,3 +170,18 @@ def test_packed_texts_come_back(spark):
         text.unpacked_skills(F.get("p", F.lit(2))).alias("b"),
     )
     assert [tuple(r) for r in back.collect()] == list(zip(lists, plain, reversed(lists)))
+
+
+def test_texts_of_touched_jobs_are_not_shuffled_for_their_skills(spark, tmp_path, monkeypatch):
+    seen = []
+    profiles = ingest.requirement_profiles
+    monkeypatch.setattr(ingest, "requirement_profiles", lambda rows: seen.append(plan_of(rows)) or profiles(rows))
+    handle = ingest.ingest_batch(f"{tmp_path}/t", ages.moment("2024-06-01 00:00:00"), buckets=2)
+    line = "| F | {} | B | [x](https://l.example/{}) |"
+    for number, names in enumerate((["Go 1", "Go 2", "Go 3"], ["Rust 2"])):
+        body = "\n".join(line.format(name, name[-1]) for name in names)
+        handle(spark.createDataFrame([("listing", "", "", datetime.datetime(2024, 1, 1 + number), body)], ingest.LANDING_SCHEMA), number)
+    assert len(seen) == 2 and not any("Join" in plan or "Exchange" in plan for plan in seen)
+    found = ingest.present_requirements(spark, f"{tmp_path}/t", 2).collect()
+    assert sorted(r.required_skills for r in found) == [["go"], ["go"], ["rust"]]
+    assert "touched" not in ingest.present_jobs(spark, f"{tmp_path}/t", 2).columns

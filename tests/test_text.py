@@ -114,3 +114,11 @@ def test_categories_and_tree(spark):
     ]
     assert {(r.match_count, r.total_count, r.percentage) for r in rows} == {(2, 4, 50)}
     assert spark.range(1).select(category_of(F.lit(" Next.js "))).first()[0] == "Frameworks"
+
+
+def test_plain_keywords_are_looked_for_in_one_pass(spark):
+    body = "api rest_api API, go-lang (golang) x2go ml.ai\ngit"
+    assert skills(spark, body) == (["ai", "api", "git", "go", "golang", "ml"], [])
+    frame = spark.createDataFrame([(body,)], "t string").select(text.keywords_in(F.lower("t"), text.SKILL_KEYWORDS))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") < 20 and plan.count("regexp_extract_all") == 1
